@@ -43,6 +43,9 @@ STAT_DEFS = [
     StatDef(17, "nation", "ix_nation", ("n_nationkey",), INDEX),
     StatDef(18, "documents", "us_text", ("text",), USER),
     StatDef(19, "documents", "_dta_stat_1", ("lang",), USER, with_histogram=False),
+    StatDef(20, "lineitem", "us_line", ("l_linenumber",), USER, filter="l_shipdate > '2000-01-01' OR l_linenumber <= 4"),
+    StatDef(21, "lineitem", "wa_line", ("l_linenumber",), AUTO, filter="l_shipdate > '2000-01-01' OR l_linenumber > 4",
+            sample_pct=50, sample_on="l_orderkey"),
 ]
 
 REFERENCES = [
@@ -86,11 +89,17 @@ def usage_per_statistic(log: DataFrame) -> DataFrame:
     )
 
 
+_OPEN: dict[str, dict[str, DataFrame]] = {}
+
+
 def collected(spark: SparkSession, sf_dir: str, refresh: bool = False) -> dict[str, DataFrame]:
     """The collected tables of ``sf_dir``. The first call of a session builds them from the whole test tables."""
-    frames = {t.name: read_named(spark, sf_dir, t.name) for t in TABLE_DEFS}
     key = f"{spark.sparkContext.applicationId}-{sf_dir.strip('/').replace('/', '-')}"
-    return collect(
+    if key in _OPEN and not refresh:
+        return _OPEN[key]
+    frames = {t.name: read_named(spark, sf_dir, t.name) for t in TABLE_DEFS}
+    _OPEN[key] = collect(
         spark, frames, TABLE_DEFS, STAT_DEFS, f"{shared_folder(spark)}/collected-{key}", refresh,
         usage=lambda: usage_per_statistic(access_log(spark, sf_dir)),
     )
+    return _OPEN[key]
