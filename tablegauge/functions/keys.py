@@ -31,22 +31,19 @@ def slot_of(dtype: T.DataType) -> str:
     raise TypeError(f"no ordered key for {dtype.simpleString()}")
 
 
-def key_struct(c: Column, dtype: T.DataType) -> Column:
-    slot = slot_of(dtype)
-    return F.struct(*[
-        (c.cast(f.dataType) if f.name == slot else F.lit(None).cast(f.dataType)).alias(f.name) for f in KEY_TYPE
-    ])
+def key_sql(name: str | None, dtype: T.DataType | None) -> str:
+    """SQL text of the key struct of a column; without a column a NULL key."""
+    slot = slot_of(dtype) if name else None
+    fields = [f"'{f.name}', CAST({f'`{name}`' if f.name == slot else 'NULL'} AS {f.dataType.simpleString()})" for f in KEY_TYPE]
+    return f"named_struct({', '.join(fields)})"
 
 
-def null_key() -> Column:
-    return F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in KEY_TYPE])
+def key_is_null(k: str = "hi") -> Column:
+    return F.expr(key_is_null_sql(k))
 
 
-def key_is_null(k: Column) -> Column:
-    cond = F.lit(True)
-    for f in KEY_TYPE:
-        cond = cond & k[f.name].isNull()
-    return cond
+def key_is_null_sql(k: str = "hi") -> str:
+    return "(" + " AND ".join(f"{k}.{f.name} IS NULL" for f in KEY_TYPE) + ")"
 
 
 def native_key(k: Column, dtype: T.DataType) -> Column:

@@ -53,16 +53,15 @@ FIXED_BYTES = {
 }
 
 
-def value_bytes(c: Column, dtype: T.DataType) -> Column:
-    """Stored size of one value; NULL counts 0."""
-    for kind, size in FIXED_BYTES.items():
-        if isinstance(dtype, kind):
-            return F.when(c.isNull(), 0).otherwise(size).cast("long")
+def value_bytes(name: str, dtype: T.DataType) -> str:
+    """SQL text of the stored size of one value; NULL counts 0."""
+    size = FIXED_BYTES.get(type(dtype))
     if isinstance(dtype, T.DecimalType):
-        return F.when(c.isNull(), 0).otherwise(9 if dtype.precision <= 19 else 17).cast("long")
-    if isinstance(dtype, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long")
-    return F.coalesce(F.octet_length(F.to_json(F.struct(c.alias("v")))), F.lit(0)).cast("long")
+        size = 9 if dtype.precision <= 19 else 17
+    if size is not None:
+        return f"CAST(IF(`{name}` IS NULL, 0, {size}) AS BIGINT)"
+    value = f"`{name}`" if isinstance(dtype, (T.StringType, T.BinaryType)) else f"to_json(named_struct('v', `{name}`))"
+    return f"CAST(coalesce(octet_length({value}), 0) AS BIGINT)"
 
 
 def pages(size: Column) -> Column:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ..functions.keys import key_is_null, key_struct, null_key
+from ..functions.keys import key_is_null, key_is_null_sql, key_sql
 from ..functions.numbers import (
     LARGE_VALUE_BYTES, auto_threshold, density_values, or_one, pages, ratio, threshold_type, value_bytes,
 )
@@ -21,25 +21,19 @@ from .histogram import MAX_STEPS, histogram_steps, written_counts
 SNAPS = [1, 2, 3, 4]  # 1 is the newest refresh
 
 
-def _seen_at(table: TableDef, n: int) -> Column:
-    """Whether a row was there at the n-th refresh, newest first. Rows without an append time were always there."""
+def _seen_at(table: TableDef, n: int) -> str:
+    """SQL text: was a row there at the n-th refresh, newest first? Rows without an append time always were."""
     if n > len(table.cutoffs):
-        return F.lit(False)
+        return "false"
     if table.ts_column is None:
-        return F.lit(n == 1)
-    ts = F.col(table.ts_column)
-    return ts.isNull() | (ts <= F.lit(table.cutoffs[n - 1]).cast("timestamp_ntz"))
+        return "true" if n == 1 else "false"
+    return f"(`{table.ts_column}` IS NULL OR `{table.ts_column}` <= CAST('{table.cutoffs[n - 1]}' AS TIMESTAMP_NTZ))"
 
 
-def _seen_now(table: TableDef) -> Column:
+def _seen_now(table: TableDef) -> str:
     if table.ts_column is None:
-        return F.lit(True)
-    ts = F.col(table.ts_column)
-    return ts.isNull() | (ts <= F.lit(table.as_of).cast("timestamp_ntz"))
-
-
-def _count_if(cond: Column) -> Column:
-    return F.count(F.when(cond, 1))
+        return "true"
+    return f"(`{table.ts_column}` IS NULL OR `{table.ts_column}` <= CAST('{table.as_of}' AS TIMESTAMP_NTZ))"
 
 
 def statistic_counts(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFrame:
@@ -51,46 +45,37 @@ def statistic_counts(df: DataFrame, table: TableDef, stats: list[StatDef]) -> Da
     types = {f.name: f.dataType for f in df.schema}
     entries = []
     for s in stats:
-        sampled = F.lit(True) if s.sample_pct is None else in_sample(
-            F.col(s.sample_on or s.columns[0]), types[s.sample_on or s.columns[0]], s.sample_pct)
+        on = s.sample_on or s.columns[0]
+        sampled = "true" if s.sample_pct is None else in_sample(on, types[on], s.sample_pct)
         for n in range(1, len(s.columns) + 1):
             prefix = s.columns[:n]
-            size = sum((value_bytes(F.col(c), types[c]) for c in prefix[1:]), value_bytes(F.col(prefix[0]), types[prefix[0]]))
-            one = n == 1
-            entry = F.struct(
-                F.lit(s.rowid).alias("rowid"), F.lit(n).alias("n"),
-                (key_struct(F.col(prefix[0]), types[prefix[0]]) if one else null_key()).alias("hi"),
-                (F.lit(None).cast("array<string>") if one else F.array(*[F.col(c).cast("string") for c in prefix])).alias("tup"),
-                size.alias("key_bytes"), sampled.alias("sampled"),
-            )
-            entries.append(entry if s.filter is None else F.when(F.expr(s.filter), entry))
-    flags = [_seen_now(table).alias("p0")] + [_seen_at(table, h).alias(f"p{h}") for h in SNAPS]
-    long = (
-        df.select(*flags, F.explode(F.array(*entries)).alias("e"))
-        .filter(F.col("e").isNotNull())
-        .select("e.*", *[f"p{h}" for h in [0, *SNAPS]])
-    )
+            key = key_sql(prefix[0], types[prefix[0]]) if n == 1 else key_sql(None, None)
+            tup = "CAST(NULL AS array<string>)" if n == 1 else "array(" + ", ".join(f"CAST(`{c}` AS string)" for c in prefix) + ")"
+            size = " + ".join(value_bytes(c, types[c]) for c in prefix)
+            entry = (f"named_struct('rowid', {s.rowid}, 'n', {n}, 'hi', {key}, 'tup', {tup}, "
+                     f"'key_bytes', {size}, 'sampled', {sampled})")
+            entries.append(entry if s.filter is None else f"CASE WHEN {s.filter} THEN {entry} END")
+    long = df.selectExpr(
+        f"{_seen_now(table)} AS p0", *[f"{_seen_at(table, h)} AS p{h}" for h in SNAPS],
+        f"explode(array({', '.join(entries)})) AS e",
+    ).filter("e IS NOT NULL").selectExpr("e.*", *[f"p{h}" for h in [0, *SNAPS]])
     return long.groupBy("rowid", "n", "hi", "tup").agg(
         F.max("key_bytes").alias("key_bytes"),
-        *[_count_if(F.col(f"p{h}") & F.col("sampled")).alias(f"s{h}") for h in SNAPS],
-        *[_count_if(F.col(f"p{h}")).alias(f"f{h}") for h in [0, *SNAPS]],
+        *[F.expr(f"count_if(p{h} AND sampled) AS s{h}") for h in SNAPS],
+        *[F.expr(f"count_if(p{h}) AS f{h}") for h in [0, *SNAPS]],
     )
 
 
 def table_profile(df: DataFrame, table: TableDef) -> DataFrame:
     """Row and byte totals of one table: one row."""
-    short, large = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for f in df.schema:
-        size = value_bytes(F.col(f.name), f.dataType)
-        short = short + F.when(size <= LARGE_VALUE_BYTES, size).otherwise(0)
-        large = large + F.when(size > LARGE_VALUE_BYTES, size).otherwise(0)
-    now = _seen_now(table)
-    return df.agg(
-        _count_if(now).alias("current_rows"),
-        *[_count_if(_seen_at(table, h)).alias(f"rows{h}") for h in SNAPS],
-        F.coalesce(F.sum(F.when(now, short)), F.lit(0)).alias("in_row_bytes"),
-        F.coalesce(F.sum(F.when(now, large)), F.lit(0)).alias("lob_bytes"),
-    ).withColumn("table_name", F.lit(table.name))
+    sizes = [value_bytes(f.name, f.dataType) for f in df.schema]
+    short = " + ".join(f"IF({s} <= {LARGE_VALUE_BYTES}, {s}, 0)" for s in sizes)
+    large = " + ".join(f"IF({s} > {LARGE_VALUE_BYTES}, {s}, 0)" for s in sizes)
+    return df.selectExpr(
+        f"count_if({_seen_now(table)}) AS current_rows", *[f"count_if({_seen_at(table, h)}) AS rows{h}" for h in SNAPS],
+        f"coalesce(sum(IF({_seen_now(table)}, {short}, 0)), 0) AS in_row_bytes",
+        f"coalesce(sum(IF({_seen_now(table)}, {large}, 0)), 0) AS lob_bytes", f"'{table.name}' AS table_name",
+    )
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -115,35 +100,27 @@ def density_vectors(counts: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def _extremes(keyed: DataFrame) -> DataFrame:
-    aggs = []
-    for h in SNAPS:
-        there = F.when(F.col(f"f{h}") > 0, F.col("hi"))
-        aggs += [F.min(there).alias(f"min{h}"), F.max(there).alias(f"max{h}")]
-    return keyed.groupBy("rowid").agg(*aggs)
+    return keyed.groupBy("rowid").agg(*[
+        F.expr(f"{side}(hi) FILTER (WHERE f{h} > 0) AS {side}{h}") for h in SNAPS[1:] for side in ("min", "max")])
 
 
 def update_history(counts: DataFrame, profile: DataFrame, steps: DataFrame, defs: DataFrame,
                    tables: list[TableDef]) -> DataFrame:
     """The last refreshes of each statistic: what was inserted since the one before, and on which side of its range."""
     first = counts.filter("n = 1")
-    keyed = first.filter(~key_is_null(F.col("hi")))
+    keyed = first.filter(~key_is_null())
     # one row per statistic
     placed = keyed.join(F.broadcast(_extremes(keyed)), "rowid")
-    aggs = []
-    for h in SNAPS:
-        new = F.col(f"f{h}") - (F.col(f"f{h + 1}") if h < SNAPS[-1] else F.lit(0))
-        prev = h + 1
-        aggs.append(F.count(F.when(F.col(f"s{h}") > 0, 1)).alias(f"keys{h}"))
-        if h < SNAPS[-1]:
-            aggs += [
-                F.sum(F.when(F.col("hi") > F.col(f"max{prev}"), new).otherwise(0)).alias(f"above{h}"),
-                F.sum(F.when(F.col("hi") < F.col(f"min{prev}"), new).otherwise(0)).alias(f"below{h}"),
-            ]
-        else:
-            aggs += [F.lit(0).cast("long").alias(f"above{h}"), F.lit(0).cast("long").alias(f"below{h}")]
-    sides = placed.groupBy("rowid").agg(*aggs)
-    inserted = first.groupBy("rowid").agg(*[F.sum(f"f{h}").alias(f"rows{h}") for h in SNAPS],
-                                          *[F.count(F.when(key_is_null(F.col("hi")) & (F.col(f"s{h}") > 0), 1)).alias(f"nullkeys{h}") for h in SNAPS])
+    newest, oldest = SNAPS[:-1], SNAPS[-1]
+    sides = placed.groupBy("rowid").agg(
+        *[F.expr(f"count_if(s{h} > 0) AS keys{h}") for h in SNAPS],
+        *[F.expr(f"sum(IF(hi > max{h + 1}, f{h} - f{h + 1}, 0)) AS above{h}") for h in newest],
+        *[F.expr(f"sum(IF(hi < min{h + 1}, f{h} - f{h + 1}, 0)) AS below{h}") for h in newest],
+        F.expr(f"0L AS above{oldest}"), F.expr(f"0L AS below{oldest}"),
+    )
+    inserted = first.groupBy("rowid").agg(
+        *[F.sum(f"f{h}").alias(f"rows{h}") for h in SNAPS],
+        *[F.expr(f"count_if({key_is_null_sql()} AND s{h} > 0) AS nullkeys{h}") for h in SNAPS])
     card = profile.select("table_name", *[F.col(f"rows{h}").alias(f"card{h}") for h in SNAPS])
     kept = {t.name: t for t in tables}
     spark = counts.sparkSession
@@ -152,14 +129,10 @@ def update_history(counts: DataFrame, profile: DataFrame, steps: DataFrame, defs
          for t in kept.values() for h in SNAPS if h <= len(t.cutoffs)],
         "table_name string, history_number int, updated string, readable boolean, has_previous boolean",
     ).withColumn("updated", F.col("updated").cast("timestamp_ntz"))
-    entries = F.array(*[
-        F.struct(
-            F.lit(h).alias("history_number"), F.col(f"card{h}").alias("table_cardinality"),
-            (F.col(f"keys{h}") + F.col(f"nullkeys{h}")).alias("keys"),
-            (F.col(f"rows{h}") - (F.col(f"rows{h + 1}") if h < SNAPS[-1] else F.lit(0))).alias("inserts"),
-            F.col(f"above{h}").alias("above"), F.col(f"below{h}").alias("below"),
-        ) for h in SNAPS
-    ])
+    rows = [
+        f"named_struct('history_number', {h}, 'table_cardinality', card{h}, 'keys', keys{h} + nullkeys{h}, "
+        f"'inserts', rows{h} - {f'rows{h + 1}' if h < oldest else '0'}, 'above', above{h}, 'below', below{h})" for h in SNAPS]
+    entries = F.expr(f"array({', '.join(rows)})")
     long = (
         inserted.join(sides, "rowid", "left")
         .join(F.broadcast(defs.select("rowid", "table_name", "with_histogram")), "rowid")

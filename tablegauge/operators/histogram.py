@@ -13,10 +13,9 @@ Every statistic of every table goes through the same distributed steps at once:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.keys import KEY_TYPE, key_is_null, key_struct, native_key
+from ..functions.keys import key_is_null, key_sql, native_key
 from ..session import written
 
 MAX_STEPS = 200
@@ -32,21 +31,15 @@ def written_counts(counts: DataFrame, order: list[str]) -> DataFrame:
 
 def _offsets(counts: DataFrame, snaps: list[int]) -> DataFrame:
     """Per (rowid, pid): rows and keys before this partition, and totals of the statistic, for each snapshot."""
-    aggs = []
-    for h in snaps:
-        aggs += [F.sum(f"s{h}").alias(f"n{h}"), F.count(F.when(F.col(f"s{h}") > 0, 1)).alias(f"d{h}")]
-    sums = counts.groupBy("rowid", "pid").agg(*aggs)
-    before = Window.partitionBy("rowid").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("rowid")
-    cols = ["rowid", "pid"]
-    for h in snaps:
-        cols += [
-            F.coalesce(F.sum(f"n{h}").over(before), F.lit(0)).alias(f"off{h}"),
-            F.coalesce(F.sum(f"d{h}").over(before), F.lit(0)).alias(f"rnoff{h}"),
-            F.sum(f"n{h}").over(whole).alias(f"total{h}"),
-            F.sum(f"d{h}").over(whole).alias(f"keys{h}"),
-        ]
-    return sums.select(*cols)
+    sums = counts.groupBy("rowid", "pid").agg(
+        *[F.sum(f"s{h}").alias(f"n{h}") for h in snaps], *[F.expr(f"count_if(s{h} > 0) AS d{h}") for h in snaps])
+    before = "OVER (PARTITION BY rowid ORDER BY pid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    whole = "OVER (PARTITION BY rowid)"
+    return sums.selectExpr("rowid", "pid", *[
+        text for h in snaps for text in (
+            f"coalesce(sum(n{h}) {before}, 0) AS off{h}", f"coalesce(sum(d{h}) {before}, 0) AS rnoff{h}",
+            f"sum(n{h}) {whole} AS total{h}", f"sum(d{h}) {whole} AS keys{h}")
+    ])
 
 
 def histogram_steps(counts: DataFrame, snaps: list[int], max_steps: int = MAX_STEPS) -> DataFrame:
@@ -58,23 +51,17 @@ def histogram_steps(counts: DataFrame, snaps: list[int], max_steps: int = MAX_ST
     if not 3 <= max_steps <= 10000:
         raise ValueError("max_steps must be between 3 and 10000")
     heavy = (max_steps - 1) // 2
-    keyed = counts.filter(~key_is_null(F.col("hi")))
+    keyed = counts.filter(~key_is_null())
 
     # the offsets have one row per statistic and range partition that holds a part of it
     placed = keyed.join(F.broadcast(_offsets(keyed, snaps)), ["rowid", "pid"])
-    running = Window.partitionBy("rowid", "pid").orderBy("hi").rowsBetween(Window.unboundedPreceding, 0)
-    snap_rows = []
-    for h in snaps:
-        snap_rows.append(F.struct(
-            F.lit(h).alias("snap"),
-            F.col(f"s{h}").alias("cnt"),
-            (F.col(f"off{h}") + F.sum(f"s{h}").over(running)).alias("cum"),
-            (F.col(f"rnoff{h}") + F.count(F.when(F.col(f"s{h}") > 0, 1)).over(running)).alias("rn"),
-            F.col(f"total{h}").alias("total"),
-            F.col(f"keys{h}").alias("keys"),
-        ))
+    running = "OVER (PARTITION BY rowid, pid ORDER BY hi ROWS UNBOUNDED PRECEDING)"
+    rows = [
+        f"named_struct('snap', {h}, 'cnt', s{h}, 'cum', off{h} + sum(s{h}) {running}, "
+        f"'rn', rnoff{h} + count_if(s{h} > 0) {running}, 'total', total{h}, 'keys', keys{h})" for h in snaps
+    ]
     long = (
-        placed.select("rowid", "hi", F.array(*snap_rows).alias("snaps"))
+        placed.selectExpr("rowid", "hi", f"array({', '.join(rows)}) AS snaps")
         .select("rowid", "hi", F.explode("snaps").alias("x"))
         .select("rowid", "hi", "x.*")
         .filter("cnt > 0")
@@ -97,11 +84,10 @@ def histogram_steps(counts: DataFrame, snaps: list[int], max_steps: int = MAX_ST
         (F.col("rn") - 1 - F.coalesce(F.lag("rn").over(by_step), F.lit(0))).alias("distinct_range_rows"),
     )
 
-    nulls = counts.filter(key_is_null(F.col("hi"))).select(
-        "rowid", "hi",
-        F.explode(F.array(*[F.struct(F.lit(h).alias("snap"), F.col(f"s{h}").alias("eq_rows")) for h in snaps])).alias("x"),
-    ).select("rowid", "x.snap", F.lit(0).alias("stepnumber"), "hi", F.lit(0).cast("long").alias("range_rows"),
-             "x.eq_rows", F.lit(0).cast("long").alias("distinct_range_rows")).filter("eq_rows > 0")
+    pairs = ", ".join(f"named_struct('snap', {h}, 'eq_rows', s{h})" for h in snaps)
+    nulls = counts.filter(key_is_null()).selectExpr("rowid", "hi", f"explode(array({pairs})) AS x").selectExpr(
+        "rowid", "x.snap", "0 AS stepnumber", "hi", "0L AS range_rows", "x.eq_rows", "0L AS distinct_range_rows",
+    ).filter("eq_rows > 0")
     renumber = Window.partitionBy("rowid", "snap").orderBy("stepnumber")
     return steps.unionByName(nulls).select(
         "rowid", "snap", F.row_number().over(renumber).alias("stepnumber"), "hi", "range_rows", "eq_rows",
@@ -122,7 +108,7 @@ def histogram(df: DataFrame, key: str, max_steps: int = MAX_STEPS) -> DataFrame:
     dtype = df.schema[key].dataType
     vc = value_counts(df, key)
     counts = written_counts(
-        vc.select(F.lit(0).alias("rowid"), key_struct(F.col("key"), dtype).alias("hi"), F.col("cnt").alias("s1")),
+        vc.selectExpr("0 AS rowid", f"{key_sql('key', dtype)} AS hi", "cnt AS s1"),
         ["hi"],
     )
     return histogram_steps(counts, [1], max_steps).select(

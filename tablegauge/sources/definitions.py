@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 
@@ -117,8 +117,8 @@ def stat_columns(stat_def: DataFrame) -> DataFrame:
     )
 
 
-def in_sample(on: Column, dtype: T.DataType, pct: int) -> Column:
-    """A repeatable sample: the same key is always in or always out."""
+def in_sample(name: str, dtype: T.DataType, pct: int) -> str:
+    """SQL text of a repeatable sample: the same key is always in or always out."""
     whole = isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    slot = F.pmod(on if whole else F.xxhash64(on), F.lit(100))
-    return F.coalesce(slot < pct, F.lit(False))
+    number = f"`{name}`" if whole else f"xxhash64(`{name}`)"
+    return f"coalesce(pmod({number}, 100) < {pct}, false)"
