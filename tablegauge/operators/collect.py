@@ -14,6 +14,7 @@ from ..functions.keys import key_is_null, key_is_null_sql, key_sql
 from ..functions.numbers import (
     LARGE_VALUE_BYTES, auto_threshold, density_values, or_one, pages, ratio, threshold_type, value_bytes,
 )
+from ..session import spread
 from ..sources.definitions import StatDef, TableDef, in_sample, stat_def_frame
 from ..sources.store import load, save
 from .histogram import MAX_STEPS, histogram_steps, written_counts
@@ -254,7 +255,7 @@ def collect(
     used = [t for t in tables if by_table[t.name]]
     defs = stat_def_frame(spark, frames, used, stats)
     counts = written_counts(
-        _union([statistic_counts(frames[t.name], t, by_table[t.name]) for t in used]), ["rowid", "n", "hi", "tup"])
+        _union([statistic_counts(spread(frames[t.name]), t, by_table[t.name]) for t in used]), ["rowid", "n", "hi", "tup"])
     profile = save({"profile": _union([table_profile(frames[t.name], t) for t in used])}, path, True)["profile"]
     wanted = defs.filter("with_histogram").select("rowid")
     steps = histogram_steps(counts.filter("n = 1").join(F.broadcast(wanted), "rowid", "left_semi"), SNAPS, max_steps)
