@@ -37,36 +37,61 @@ def _seen_now(table: TableDef) -> str:
     return f"(`{table.ts_column}` IS NULL OR `{table.ts_column}` <= CAST('{table.as_of}' AS TIMESTAMP_NTZ))"
 
 
-def statistic_counts(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFrame:
-    """Rows per (statistic, number of leading columns, value) in each snapshot, for all statistics of one table.
+def _sampled(s: StatDef, types: dict) -> str:
+    on = s.sample_on or s.columns[0]
+    return "true" if s.sample_pct is None else in_sample(on, types[on], s.sample_pct)
 
-    Keys of one column are kept as an ordered struct; longer prefixes only need to be told apart, so they are kept as
-    text arrays. Sampled counts are s1..s4, counts of all rows that pass the filter f0 (now) and f1..f4.
+
+def key_counts(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFrame:
+    """Rows per (statistic, key value) in each snapshot, for all statistics of one table in one scan.
+
+    Sampled counts are s1..s4, counts of all rows that pass the filter f0 (now) and f1..f4.
     """
     types = {f.name: f.dataType for f in df.schema}
     entries = []
     for s in stats:
-        on = s.sample_on or s.columns[0]
-        sampled = "true" if s.sample_pct is None else in_sample(on, types[on], s.sample_pct)
-        for n in range(1, len(s.columns) + 1):
-            prefix = s.columns[:n]
-            key = key_sql(prefix[0], types[prefix[0]]) if n == 1 else key_sql(None, None)
-            tup = "CAST(NULL AS array<string>)" if n == 1 else "array(" + ", ".join(f"CAST(`{c}` AS string)" for c in prefix) + ")"
-            size = " + ".join(value_bytes(c, types[c]) for c in prefix)
-            entry = (f"named_struct('rowid', {s.rowid}, 'n', {n}, 'hi', {key}, 'tup', {tup}, "
-                     f"'key_bytes', {size}, 'sampled', {sampled})")
-            entries.append(entry if s.filter is None else f"CASE WHEN {s.filter} THEN {entry} END")
+        key = s.columns[0]
+        entry = (f"named_struct('rowid', {s.rowid}, 'hi', {key_sql(key, types[key])}, "
+                 f"'key_bytes', {value_bytes(key, types[key])}, 'sampled', {_sampled(s, types)})")
+        entries.append(entry if s.filter is None else f"CASE WHEN {s.filter} THEN {entry} END")
     long = df.selectExpr(
         f"{_seen_now(table)} AS p0", *[f"{_seen_at(table, h)} AS p{h}" for h in SNAPS],
         f"explode(array({', '.join(entries)})) AS e",
     ).filter("e IS NOT NULL").selectExpr("e.*", *[f"p{h}" for h in [0, *SNAPS]])
-    return long.groupBy("rowid", "n", "hi", "tup").agg(
+    return long.groupBy("rowid", "hi").agg(
         F.max("key_bytes").alias("key_bytes"),
         *[F.expr(f"count_if(p{h} AND sampled) AS s{h}") for h in SNAPS],
         *[F.expr(f"count_if(p{h}) AS f{h}") for h in [0, *SNAPS]],
     )
 
 
+def prefix_sizes(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFrame | None:
+    """Distinct values and size of every prefix of two or more columns, at the newest refresh.
+
+    Such values only need to be told apart, so they are grouped as text arrays and never ordered or written.
+    """
+    types = {f.name: f.dataType for f in df.schema}
+    entries = []
+    for s in stats:
+        keep = f"({s.filter}) AND {_sampled(s, types)}" if s.filter else _sampled(s, types)
+        for n in range(2, len(s.columns) + 1):
+            cols = s.columns[:n]
+            entry = (f"named_struct('rowid', {s.rowid}, 'n', {n}, 'tup', array({', '.join(f'CAST(`{c}` AS string)' for c in cols)}), "
+                     f"'key_bytes', {' + '.join(value_bytes(c, types[c]) for c in cols)})")
+            entries.append(f"CASE WHEN {keep} THEN {entry} END")
+    if not entries:
+        return None
+    long = df.filter(_seen_at(table, 1)).selectExpr(f"explode(array({', '.join(entries)})) AS e").filter("e IS NOT NULL").select("e.*")
+    values = long.groupBy("rowid", "n", "tup").agg(F.count(F.lit(1)).alias("cnt"), F.max("key_bytes").alias("key_bytes"))
+    return _sizes(values.withColumnRenamed("cnt", "s1"))
+
+
+def _sizes(values: DataFrame) -> DataFrame:
+    return values.groupBy("rowid", "n").agg(
+        F.count(F.lit(1)).alias("distinct_values"), (F.sum(F.col("key_bytes") * F.col("s1")) / F.sum("s1")).alias("average_length"),
+        F.sum("s1").alias("rows_sampled"))
+
+
 def table_profile(df: DataFrame, table: TableDef) -> DataFrame:
     """Row and byte totals of one table: one row."""
     sizes = [value_bytes(f.name, f.dataType) for f in df.schema]
@@ -86,13 +111,9 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def density_vectors(counts: DataFrame, defs: DataFrame) -> DataFrame:
+def density_vectors(counts: DataFrame, longer: list[DataFrame], defs: DataFrame) -> DataFrame:
     """Density of each column prefix at the newest refresh."""
-    seen = counts.filter("s1 > 0").groupBy("rowid", "n").agg(
-        F.count(F.lit(1)).alias("distinct_values"),
-        (F.sum(F.col("key_bytes") * F.col("s1")) / F.sum("s1")).alias("average_length"),
-        F.sum("s1").alias("rows_sampled"),
-    )
+    seen = _union([_sizes(counts.filter("s1 > 0").withColumn("n", F.lit(1))), *longer])
     return seen.join(F.broadcast(defs.select("rowid", "stat_columns")), "rowid").select(
         "rowid", F.col("n").alias("density_number"), (F.lit(1.0) / F.col("distinct_values")).alias("all_density"),
         "distinct_values", "average_length", "rows_sampled",
@@ -100,18 +121,15 @@ def density_vectors(counts: DataFrame, defs: DataFrame) -> DataFrame:
     )
 
 
-def _extremes(keyed: DataFrame) -> DataFrame:
-    return keyed.groupBy("rowid").agg(*[
-        F.expr(f"{side}(hi) FILTER (WHERE f{h} > 0) AS {side}{h}") for h in SNAPS[1:] for side in ("min", "max")])
-
-
 def update_history(counts: DataFrame, profile: DataFrame, steps: DataFrame, defs: DataFrame,
                    tables: list[TableDef]) -> DataFrame:
-    """The last refreshes of each statistic: what was inserted since the one before, and on which side of its range."""
-    first = counts.filter("n = 1")
+    """The last refreshes of each statistic: what was inserted since the one before, and on which side of its histogram."""
+    first = counts
     keyed = first.filter(~key_is_null())
+    bounds = steps.filter(~key_is_null()).groupBy("rowid").agg(*[
+        F.expr(f"{side}_by(hi, IF(snap = {h}, stepnumber, NULL)) AS {side}{h}") for h in SNAPS[1:] for side in ("min", "max")])
     # one row per statistic
-    placed = keyed.join(F.broadcast(_extremes(keyed)), "rowid")
+    placed = keyed.join(F.broadcast(bounds), "rowid")
     newest, oldest = SNAPS[:-1], SNAPS[-1]
     sides = placed.groupBy("rowid").agg(
         *[F.expr(f"count_if(s{h} > 0) AS keys{h}") for h in SNAPS],
@@ -181,7 +199,7 @@ def modifications(inserts: Column, deletes: Column) -> Column:
 def catalogue(defs: DataFrame, profile: DataFrame, density: DataFrame, steps: DataFrame, counts: DataFrame,
               usage: DataFrame | None = None) -> DataFrame:
     """One row per statistic with everything the checks look at."""
-    sizes = counts.filter("n = 1").groupBy("rowid").agg(
+    sizes = counts.groupBy("rowid").agg(
         F.sum("f1").alias("number_of_rows_at_time_stat_was_updated"),
         F.sum("s1").alias("rows_sampled"),
         F.sum("f0").alias("rows_now"),
@@ -254,16 +272,17 @@ def collect(
     by_table = {t.name: [s for s in stats if s.table == t.name] for t in tables}
     used = [t for t in tables if by_table[t.name]]
     defs = stat_def_frame(spark, frames, used, stats)
-    counts = written_counts(
-        _union([statistic_counts(spread(frames[t.name]), t, by_table[t.name]) for t in used]), ["rowid", "n", "hi", "tup"])
+    spread_frames = {t.name: spread(frames[t.name]) for t in used}
+    counts = written_counts(_union([key_counts(spread_frames[t.name], t, by_table[t.name]) for t in used]), ["rowid", "hi"])
     profile = save({"profile": _union([table_profile(frames[t.name], t) for t in used])}, path, True)["profile"]
-    wanted = defs.filter("with_histogram").select("rowid")
-    steps = histogram_steps(counts.filter("n = 1").join(F.broadcast(wanted), "rowid", "left_semi"), SNAPS, max_steps)
+    steps = histogram_steps(counts, SNAPS, max_steps)
     saved = save({"steps_all": steps}, path, True)["steps_all"]
+    longer = [p for t in used if (p := prefix_sizes(spread_frames[t.name], t, by_table[t.name])) is not None]
+    shown = defs.filter("with_histogram").select("rowid")
     out = save({
-        "density": density_vectors(counts, defs),
+        "density": density_vectors(counts, longer, defs),
         "stat_history": update_history(counts, profile, saved, defs, used),
-        "histogram": saved.filter("snap = 1").drop("snap"),
+        "histogram": saved.filter("snap = 1").drop("snap").join(F.broadcast(shown), "rowid", "left_semi"),
     }, path, True)
     out["stat"] = save({"stat": catalogue(defs, profile, out["density"], saved, counts, usage() if usage else None)}, path, True)["stat"]
     out["stat_header"] = save({"stat_header": header_of(out["stat"])}, path, True)["stat_header"]

@@ -55,27 +55,24 @@ def histogram_steps(counts: DataFrame, snaps: list[int], max_steps: int = MAX_ST
 
     # the offsets have one row per statistic and range partition that holds a part of it
     placed = keyed.join(F.broadcast(_offsets(keyed, snaps)), ["rowid", "pid"])
-    running = "OVER (PARTITION BY rowid, pid ORDER BY hi ROWS UNBOUNDED PRECEDING)"
+    order = "OVER (PARTITION BY rowid, pid ORDER BY hi"
+    running = placed.selectExpr("rowid", "hi", "pid", *[
+        text for h in snaps for text in (
+            f"s{h}", f"total{h}", f"keys{h}", f"off{h} + sum(s{h}) {order} ROWS UNBOUNDED PRECEDING) AS cum{h}",
+            f"rnoff{h} + count_if(s{h} > 0) {order} ROWS UNBOUNDED PRECEDING) AS rn{h}")
+    ]).selectExpr("*", *[f"IF(s{h} > 0, (cum{h} * {heavy} + total{h} - 1) div total{h}, NULL) AS b{h}" for h in snaps])
+    # A key ends a step when it stands alone or the next key is in another bucket. The last key of a range partition does
+    # not see the next one; it stays a candidate and is settled below, among a few rows.
+    following = running.selectExpr("*", *[f"lead(b{h}) IGNORE NULLS {order}) AS next{h}" for h in snaps])
+    alone = [f"(rn{h} = 1 OR keys{h} <= {max_steps} OR s{h} * {heavy} >= total{h})" for h in snaps]
+    ends_here = [f"coalesce(s{h} > 0 AND ({a} OR next{h} IS NULL OR next{h} <> b{h}), false)" for h, a in zip(snaps, alone)]
     rows = [
-        f"named_struct('snap', {h}, 'cnt', s{h}, 'cum', off{h} + sum(s{h}) {running}, "
-        f"'rn', rnoff{h} + count_if(s{h} > 0) {running}, 'total', total{h}, 'keys', keys{h})" for h in snaps
-    ]
-    long = (
-        placed.selectExpr("rowid", "hi", f"array({', '.join(rows)}) AS snaps")
-        .select("rowid", "hi", F.explode("snaps").alias("x"))
-        .select("rowid", "hi", "x.*")
-        .filter("cnt > 0")
-        .withColumn("bucket", F.expr(f"(cum * {heavy} + total - 1) div total"))
-    )
-    end = F.struct("rn", "cum", "cnt", "hi")
-    alone = (F.col("rn") == 1) | (F.col("keys") <= max_steps) | (F.col("cnt") * heavy >= F.col("total"))
-    ends = (
-        # 'alone' keys are bounded by the rule itself: max_steps, or the number of heavy keys plus one
-        long.groupBy("rowid", "snap", "bucket")
-        .agg(F.max(end).alias("last"), F.collect_list(F.when(alone, end)).alias("picked"))
-        .select("rowid", "snap", F.explode(F.array_distinct(F.array_append("picked", F.col("last")))).alias("e"))
-        .select("rowid", "snap", "e.*")
-    )
+        f"IF({e}, named_struct('snap', {h}, 'cnt', s{h}, 'cum', cum{h}, 'rn', rn{h}, 'bucket', b{h}, 'alone', {a}), NULL)"
+        for h, e, a in zip(snaps, ends_here, alone)]
+    candidates = following.filter(" OR ".join(ends_here)).selectExpr("rowid", "hi", f"explode(array({', '.join(rows)})) AS x").filter(
+        "x IS NOT NULL").select("rowid", "hi", "x.*")
+    last = F.max("rn").over(Window.partitionBy("rowid", "snap", "bucket"))
+    ends = candidates.withColumn("last_of_bucket", last).filter("alone OR rn = last_of_bucket")
     by_step = Window.partitionBy("rowid", "snap").orderBy("rn")
     steps = ends.select(
         "rowid", "snap", F.row_number().over(by_step).alias("stepnumber"), "hi",

@@ -141,7 +141,7 @@ dens AS (SELECT rowid, n AS density_number, CAST(1.0 AS DOUBLE) / count(*) AS al
 
 _HISTORY = """
 ext AS (SELECT rowid, """ + ", ".join(
-    f"{a}({c}) FILTER (WHERE f{h} > 0) AS {a}_{c}{h}" for h in (2, 3, 4) for a in ("min", "max") for c in "lfst") + """
+    f"{a}({c}) FILTER (WHERE s{h} > 0) AS {a}_{c}{h}" for h in (2, 3, 4) for a in ("min", "max") for c in "lfst") + """
   FROM vc WHERE n = 1 GROUP BY rowid),
 sides AS (SELECT rowid, """ + ", ".join(
     f"CAST(coalesce(sum(f{h} - f{h + 1}) FILTER (WHERE " + " OR ".join(f"{c} > max_{c}{h + 1}" for c in "lfst")
