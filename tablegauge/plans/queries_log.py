@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import plandoc as pd
 from ..operators import querylog as ql
+from ..session import spread
 from ..sources.tables import read_named
 from .oracle_base import ratio
 from .plan_fixture import plan_documents
@@ -56,7 +57,7 @@ def text_clean(spark, sf):
     raw = F.translate("text", "\n ", "\x07\x1e")
     start = (F.pmod("doc_id", F.lit(50)) * 2).cast("long")
     end = F.when(F.pmod("doc_id", F.lit(4)) == 0, start - 10).when(F.pmod("doc_id", F.lit(4)) == 1, start + 400_000).otherwise(start + 80)
-    d = read_named(spark, sf, "documents").select("doc_id", ql.clean_text(raw).alias("clean"), start.alias("a"), end.alias("b"))
+    d = spread(read_named(spark, sf, "documents")).select("doc_id", ql.clean_text(raw).alias("clean"), start.alias("a"), end.alias("b"))
     return d.select("doc_id", F.md5("clean").alias("clean_md5"), F.length("clean").cast("long").alias("clean_chars"),
                     F.md5(ql.cut_statement(F.col("clean"), F.col("a"), F.col("b"))).alias("statement_md5"))
 

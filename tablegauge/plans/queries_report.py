@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checks_events as ev
 from ..operators import report as rep
 from ..operators import texts as tx
+from ..session import spread
 from ..sources.tables import read_named
 from ..streaming.rates import file_stream, hourly_updates, modification_rate, run_to_table
 from . import queries_catalogue, queries_collect, queries_histogram, queries_history, queries_log
@@ -31,17 +32,17 @@ def chk39_events(spark, sf):
 
 
 def chk22_phrase(spark, sf):
-    return tx.texts_with_phrase(read_named(spark, sf, "documents"), "text", "LICENSE").select("doc_id", "lang", "source")
+    return tx.texts_with_phrase(spread(read_named(spark, sf, "documents")), "text", "LICENSE").select("doc_id", "lang", "source")
 
 
 def chk17_name_without_word(spark, sf):
     names = spark.createDataFrame([(n,) for n in OBJECTS], "keyword string")
-    return tx.names_without_word(read_named(spark, sf, "documents"), "doc_id", "text", names, "and")
+    return tx.names_without_word(spread(read_named(spark, sf, "documents")), "doc_id", "text", names, "and")
 
 
 def chk43_keyword_2hop(spark, sf):
-    docs = read_named(spark, sf, "documents")
-    talk = read_named(spark, sf, "conversations").withColumn("place", F.concat_ws("/", "conv_id", "turn"))
+    docs = spread(read_named(spark, sf, "documents"))
+    talk = spread(read_named(spark, sf, "conversations")).withColumn("place", F.concat_ws("/", "conv_id", "turn"))
     first_word = F.regexp_extract(F.lower("text"), "([a-z]{4,})", 1)
     return tx.keyword_two_hops(docs, "doc_id", "text", first_word, ["license", "copyright"], talk, "place", "text")
 
