@@ -10,9 +10,14 @@ LARGE_VALUE_BYTES = 8000
 
 
 def ratio(a: Column, b: Column, digits: int, factor: int = 1) -> Column:
-    """``a * factor / b`` rounded half up to ``digits`` places; NULL when b is 0. Exact decimals, given as double."""
-    num = a.cast("decimal(24,4)") * F.lit(factor).cast("decimal(8,0)")
-    return F.try_divide(num, b.cast("decimal(24,4)")).cast(f"decimal(38,{digits})").cast("double")
+    """``a * factor / b`` rounded half up to ``digits`` places, as double; NULL when b is 0. Neither may be negative.
+
+    Rounded once, by a whole division: a decimal quotient would already be rounded to six places.
+    """
+    divisor = F.nullif(b.cast("decimal(24,4)"), F.lit(0).cast("decimal(24,4)"))
+    scale = F.lit(2 * factor * 10 ** digits).cast("decimal(10,0)")
+    whole = F.call_function("div", a.cast("decimal(24,4)") * scale + divisor, divisor * 2)
+    return whole.cast("double") / float(10 ** digits)
 
 
 def or_one(c: Column) -> Column:

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.clock import boundaries, elapsed_text, idiv, ntz
+from ..functions.clock import boundaries, elapsed_text
 from ..functions.numbers import default_sample_rows, density_values, or_one, ratio
 from ..sources.definitions import Reference
 
@@ -295,11 +295,12 @@ def check_sample_rate(c: Tables) -> DataFrame:
         "percent_of_threshold", "number_of_in_row_data_pages_on_table", "number_of_lob_data_pages_on_table").distinct()
     rows, pages = F.col("current_number_of_rows"), F.col("number_of_in_row_data_pages_on_table")
     sample_rows = default_sample_rows(rows)
-    sample_pages = F.least(pages, idiv(pages * sample_rows, rows) + 1024)
+    wide = lambda c: c.cast("decimal(19,0)")  # noqa: E731  (products of rows and pages pass the range of a long)
+    sample_pages = F.least(pages, F.call_function("div", wide(pages) * sample_rows, rows) + 1024)
     mb = lambda p: ratio(F.col(p) * 8, F.lit(1024), 2)
     return a.select(
         "*", sample_rows.alias("sample_rows"), sample_pages.alias("sample_pages"),
-        ratio(rows * sample_pages, pages, 0).cast("long").alias("auto_update_rows_sample"),
+        ratio(wide(rows) * sample_pages, pages, 0).cast("long").alias("auto_update_rows_sample"),
         ratio(sample_pages, pages, 6, 100).alias("auto_update_percent_sample"),
         ratio(rows, pages, 4).alias("rows_per_page"),
         mb("number_of_in_row_data_pages_on_table").alias("in_row_data_size_in_mb"),

@@ -52,3 +52,8 @@ def test_clean_and_cut(spark):
     df = spark.createDataFrame([Row(t="a\x00b\x01c\td\n\x1fe")])
     assert df.select(clean_text(F.col("t"))).first()[0] == "ab?c\td\n?e"
     assert one(spark, cut_statement(F.lit("SELECT 1; SELECT 2"), F.lit(20), F.lit(34)), cut_statement(F.lit("abc"), F.lit(100), F.lit(120))) == ("SELECT 2", "abc")
+
+
+def test_ratio_rounds_once(spark):
+    # 0.00514984: rounded to six places first it would become 0.0052
+    assert one(spark, ratio(F.lit(675 * 8), F.lit(1024 * 1024), 4)) == (0.0051,)
