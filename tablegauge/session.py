@@ -17,6 +17,8 @@ def build_session(app: str = "tablegauge", master: str | None = None, partitions
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        # no call-site capture for every column expression: plans here have thousands of them
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)
