@@ -23,10 +23,8 @@ MAX_STEPS = 200
 
 def written_counts(counts: DataFrame, order: list[str]) -> DataFrame:
     """Value counts in the shared folder, range partitioned and numbered (``pid``)."""
-    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return written(
-        counts.repartitionByRange(parts, *order).withColumn("pid", F.spark_partition_id()), "value-counts"
-    )
+    # without a number, adaptive execution joins small neighbouring ranges; the order of ranges stays
+    return written(counts.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "value-counts")
 
 
 def _offsets(counts: DataFrame, snaps: list[int]) -> DataFrame:
