@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,18 +33,46 @@ def build_session(app: str = "tablegauge", master: str | None = None, partitions
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can read, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of this machine.
+    Only a master inside this process (``local``, ``local[n]``) may fall back to a folder of its own where the setting is
+    missing, as in tests; the name is then kept in the session's settings, so that there is one folder per session.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+        return folder.rstrip("/")
+    if not re.match(r"local(\[[^,\]]*(,[^,\]]*)?\])?$", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="tablegauge-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a table below the shared folder, on whatever file system it is."""
+    if not path.startswith(f"{shared_folder(spark)}/"):
+        raise ValueError(f"{path} is not below the shared folder")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the Python workers, where the cluster has not installed it; once per Spark context.
+
+    Spark serves the archive to its executors; the driver's copy lies in a temporary folder.
+    """
+    context = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(package)
+    if f"{name}.zip" in context._python_includes:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix=f"{name}-"), f"{name}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(package):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    z.write(os.path.join(folder, f), os.path.join(name, os.path.relpath(os.path.join(folder, f), package)))
+    context.addPyFile(archive)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
