@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.llm.components import components
@@ -157,11 +157,11 @@ def _may_link(percent: int):
     return (100 * small.cast("long") >= percent * large.cast("long")) & ((100 + percent) * rest.cast("long") >= percent * (F.col("a_n") + F.col("b_n")).cast("long"))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents in ``ids`` and perhaps a few more, told apart by a filter of fixed size."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the documents on ``pairs`` (a, b) and perhaps a few more, told apart by a filter of fixed size."""
     spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
-    words = ids.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 32).cast("int").alias("word")).agg(
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    words = ends.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("slot")).groupBy(F.floor(F.col("slot") / 32).cast("int").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 32) as int)))").alias("bits")
     ).toArrow()
     bits = np.zeros(FILTER_BITS // 32, np.int64)
@@ -233,6 +233,8 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     frequent = spark.sparkContext.broadcast(_frequent(rows, width))
     rows.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n int, first long, second long, prefix array<long>").write.parquet(f"{base}/prefixes")
     prefixes = spark.read.parquet(f"{base}/prefixes")
+    prefixes.select("doc_id", "n", "first", "second").write.parquet(f"{base}/own")
+    own = spark.read.parquet(f"{base}/own")
 
     # equal sets are one class; equal prefixes and sizes one group, named by its smallest class
     key = prefixes.filter("n > 0 and doc_id is not null")
@@ -253,6 +255,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     across = across.select("token", F.col("top").alias("a"), F.col("top_n").alias("a_n"), F.col("top_at").alias("a_at"), F.col("a").alias("b"), F.col("a_n").alias("b_n"), F.col("a_at").alias("b_at"))
     local.filter("b is not null").unionByName(across).write.parquet(f"{base}/met")
     met = spark.read.parquet(f"{base}/met")
+    drop_path(spark, f"{base}/prefixes")
 
     def side(p: str) -> DataFrame:
         return met.select("token", F.col(p).alias("grp"), F.col(f"{p}_n").alias("n"), F.col(f"{p}_at").alias("at"))
@@ -260,17 +263,19 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     lists = side("a").unionByName(side("b")).distinct()
     shared = members.groupBy("grp").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first < last")
     wide = members.join(shared.select("grp", "first"), "grp")
-    listed = met.select(F.col("a").alias("grp")).unionByName(met.select(F.col("b").alias("grp"))).distinct()
-    needed = members.join(listed, "grp").select(F.col("cls").alias("id")).unionByName(wide.select(F.col("cls").alias("id"))).distinct()
-    needed.write.parquet(f"{base}/needed")
-    needed = spark.read.parquet(f"{base}/needed")
-    _sets_of(rows, needed, width).join(needed, "id").dropDuplicates(["id"]).write.parquet(f"{base}/sets")
-    sets = spark.read.parquet(f"{base}/sets")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs.write.parquet(f"{base}/pairs-{name}")
+        pairs = spark.read.parquet(f"{base}/pairs-{name}")
+        _sets_of(rows, pairs, width).write.parquet(f"{base}/sets-{name}")
+        _verified(pairs, spark.read.parquet(f"{base}/sets-{name}"), percent).write.parquet(f"{base}/links-{name}")
+        drop_path(spark, f"{base}/sets-{name}")
+        return spark.read.parquet(f"{base}/links-{name}")
 
     # first: every group against one of its list, every member against the first of its group
     stars = met.filter(_may_link(percent)).select("a", "b").unionByName(wide.filter("cls > first").select(F.col("first").alias("a"), F.col("cls").alias("b"))).distinct()
-    _verified(stars, sets, percent).write.parquet(f"{base}/links0")
-    links = spark.read.parquet(f"{base}/links0")
+    links = verified(stars, "first")
+    stars = spark.read.parquet(f"{base}/pairs-first")
     known = components(links)
 
     # then: what a list or a group still holds in different components, pair by pair
@@ -296,20 +301,18 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     right = of_members.select(F.col("grp").alias("b"), F.col("cls").alias("y"), F.col("component").alias("y_in"))
     expanded = group_pairs.unionByName(inside).join(left, "a").join(right, "b").filter("x_in <> y_in and (a <> b or x < y)")
     pairs = expanded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    _verified(pairs, sets, percent).write.parquet(f"{base}/links1")
-    links = links.unionByName(spark.read.parquet(f"{base}/links1"))
+    links = links.unionByName(verified(pairs, "rest"))
 
     reached = components(links).select(F.col("id").alias("cls"), "component")
     of_class = classes.join(reached, "cls", "left").select("n", "first", "second", F.coalesce("component", "cls").alias("component_id"))
-    own = prefixes.select("doc_id", "n", "first", "second")
     linked = own.filter("n > 0 and doc_id is not null").join(of_class, ["n", "first", "second"]).select("doc_id", "n", "component_id")
     alone = own.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    for name in ("members", "met", "needed", "sets", "links0", "links1", "open"):
+    for name in ("members", "met", "open", "pairs-first", "pairs-rest", "links-first", "links-rest"):
         drop_path(spark, f"{base}/{name}")
     return linked.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
 
-def keep_one_per_class(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def keep_one_per_class(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its class of near copies; rows without a doc_id stay."""
     classes = jaccard_classes(docs).filter("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(classes, "doc_id", "left_anti")
