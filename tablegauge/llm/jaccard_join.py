@@ -24,6 +24,10 @@ MOST_FREQUENT = 1 << 20
 FILTER_BITS = 1 << 24
 #: Shingles that a task holds at once.
 HELD = 1 << 23
+#: Words of 64 bits in a document's bitmap, which tells most unlike pairs apart before whole sets are fetched.
+BITMAP = 16
+#: Rounds in which a list that is still open is compared with one of its members, before its rest is compared pairwise.
+PIVOTS = 3
 #: One hot document is compared by so many tasks.
 SALTS = 64
 
@@ -87,16 +91,23 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     return values[order], np.minimum(found.column("docs").to_numpy()[order], 1 << 30).astype(np.int32)
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    marks = np.zeros(64 * BITMAP, np.uint8)
+    marks[shingles >> np.uint64(64 - (64 * BITMAP).bit_length() + 1)] = 1
+    return np.packbits(marks, bitorder="little").view(np.int64)
+
+
 def _prefixes(width: int, percent: int, frequent) -> Callable:
     """Per document: size and signature of its set, and its prefix, rarest shingles first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
         for batch in batches:
-            size, first, second, prefix = [], [], [], []
+            size, first, second, prefix, bits = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 n = len(s)
                 size.append(n)
+                bits.append(_bitmap(s))
                 first.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if n else 0)
                 second.append(int(np.bitwise_xor.reduce(mix(s ^ np.uint64(0xABCDEF))).view(np.int64)) if n else 0)
                 if n and len(known):
@@ -104,11 +115,13 @@ def _prefixes(width: int, percent: int, frequent) -> Callable:
                     s = s[np.argsort(np.where(known[at] == s, counts[at], 0), kind="stable")]
                 prefix.append(s[:n - -(-percent * n // 100) + 1].view(np.int64) if n else s.view(np.int64))
             lengths = np.cumsum([0, *map(len, prefix)])
+            maps = np.concatenate(bits) if bits else np.zeros(0, np.int64)
             values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values)],
-                names=["doc_id", "n", "first", "second", "prefix"],
+                 pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), values),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * BITMAP, pa.int32()), pa.array(maps))],
+                names=["doc_id", "n", "first", "second", "prefix", "bits"],
             )
 
     return run
@@ -157,10 +170,19 @@ def _may_link(percent: int):
     return (100 * small.cast("long") >= percent * large.cast("long")) & ((100 + percent) * rest.cast("long") >= percent * (F.col("a_n") + F.col("b_n")).cast("long"))
 
 
-def _sets_of(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) of the documents on ``pairs`` (a, b) and perhaps a few more, told apart by a filter of fixed size."""
+def _roomy(pairs: DataFrame, bitmaps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps leave room for a link: a mark that the other one lacks stands for a shingle that it lacks."""
+    left = bitmaps.select(F.col("cls").alias("a"), F.col("n").cast("long").alias("a_n"), F.col("bits").alias("a_bits"))
+    right = bitmaps.select(F.col("cls").alias("b"), F.col("n").cast("long").alias("b_n"), F.col("bits").alias("b_bits"))
+    both = pairs.join(left, "a").join(right, "b")
+    lacking = "aggregate(zip_with({0}_bits, {1}_bits, (x, y) -> bit_count(x & ~y)), 0, (s, v) -> s + v)"
+    most = F.least(F.col("a_n") - F.expr(lacking.format("a", "b")), F.col("b_n") - F.expr(lacking.format("b", "a")))
+    return both.filter((100 + percent) * most >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
+
+
+def _sets_of(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the documents ``ends`` and perhaps a few more, told apart by a filter of fixed size."""
     spark = docs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
     words = ends.select(F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("slot")).groupBy(F.floor(F.col("slot") / 32).cast("int").alias("word")).agg(
         F.expr("bit_or(shiftleft(1L, cast(pmod(slot, 32) as int)))").alias("bits")
     ).toArrow()
@@ -223,22 +245,23 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     the result with a null class and take no part. A repeated doc_id must carry one text; each row comes out. Extra columns
     are ignored. An empty table gives an empty one. No pair, partner or list is capped.
 
-    Copies of one set are compared once. In the list of a shingle every group is first compared with one other, within a task and then
-    across tasks; only groups of a list that are still in different components after that are compared pairwise. A pair that
-    is left out lies in one component already, so the components are those of all links.
+    Copies of one set are compared once. In the list of a shingle every group meets one other, within a task and then across
+    tasks; it is compared with the one that it meets most often. Lists whose groups still lie in different components are compared
+    with one of their members, some times, and only what is apart after that pairwise. A pair that is left out lies in one
+    component already, so the components are those of all links.
     """
     spark = docs.sparkSession
     base = scratch_path(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(_frequent(rows, width))
-    rows.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n int, first long, second long, prefix array<long>").write.parquet(f"{base}/prefixes")
+    rows.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n int, first long, second long, prefix array<long>, bits array<long>").write.parquet(f"{base}/prefixes")
     prefixes = spark.read.parquet(f"{base}/prefixes")
     prefixes.select("doc_id", "n", "first", "second").write.parquet(f"{base}/own")
     own = spark.read.parquet(f"{base}/own")
 
     # equal sets are one class; equal prefixes and sizes one group, named by its smallest class
     key = prefixes.filter("n > 0 and doc_id is not null")
-    classes = key.groupBy("n", "first", "second").agg(F.min("doc_id").alias("cls"), F.first(F.xxhash64("prefix")).alias("of_prefix"))
+    classes = key.groupBy("n", "first", "second").agg(F.min("doc_id").alias("cls"), F.first(F.xxhash64("prefix")).alias("of_prefix"), F.first("bits").alias("bits"))
     classes.write.parquet(f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
     grouped = classes.groupBy("n", "of_prefix").agg(F.min("cls").alias("grp"))
@@ -264,50 +287,81 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     shared = members.groupBy("grp").agg(F.min("cls").alias("first"), F.max("cls").alias("last")).filter("first < last")
     wide = members.join(shared.select("grp", "first"), "grp")
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs.write.parquet(f"{base}/pairs-{name}")
-        pairs = spark.read.parquet(f"{base}/pairs-{name}")
-        _sets_of(rows, pairs, width).write.parquet(f"{base}/sets-{name}")
-        _verified(pairs, spark.read.parquet(f"{base}/sets-{name}"), percent).write.parquet(f"{base}/links-{name}")
-        drop_path(spark, f"{base}/sets-{name}")
-        return spark.read.parquet(f"{base}/links-{name}")
-
-    # first: every group against one of its list, every member against the first of its group
-    stars = met.filter(_may_link(percent)).select("a", "b").unionByName(wide.filter("cls > first").select(F.col("first").alias("a"), F.col("cls").alias("b"))).distinct()
-    links = verified(stars, "first")
-    stars = spark.read.parquet(f"{base}/pairs-first")
-    known = components(links)
-
-    # then: what a list or a group still holds in different components, pair by pair
-    def labelled(df: DataFrame, name: str) -> DataFrame:
-        named = known.select(F.col("id").alias(name), "component")
-        return df.join(named, name, "left").withColumn("component", F.coalesce("component", name))
-
-    of_members = labelled(members, "cls")
-    spread = of_members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    of_lists = lists.join(spread, "grp")
-    still = of_lists.groupBy("token").agg(F.min("low").alias("low_"), F.max("high").alias("high_")).filter("low_ < high_").select("token")
-    open_lists = of_lists.join(still, "token")
-    open_lists.write.parquet(f"{base}/open")
-    open_lists = spark.read.parquet(f"{base}/open")
-
-    def named(p: str) -> DataFrame:
-        return open_lists.select("token", *(F.col(c).alias(f"{p}_{c}" if c != "grp" else p) for c in ("grp", "n", "at", "low", "high")))
-
-    apart = "a < b and not (a_low = a_high and b_low = b_high and a_low = b_low)"
-    group_pairs = named("a").join(named("b"), "token").filter(F.expr(apart) & _may_link(percent)).select("a", "b").distinct()
-    inside = spread.filter("low < high").select(F.col("grp").alias("a"), F.col("grp").alias("b"))
-    left = of_members.select(F.col("grp").alias("a"), F.col("cls").alias("x"), F.col("component").alias("x_in"))
-    right = of_members.select(F.col("grp").alias("b"), F.col("cls").alias("y"), F.col("component").alias("y_in"))
-    expanded = group_pairs.unionByName(inside).join(left, "a").join(right, "b").filter("x_in <> y_in and (a <> b or x < y)")
-    pairs = expanded.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(verified(pairs, "rest"))
-
+    bitmaps = classes.select("cls", "n", "bits")
+    waves: list[str] = []
+
+    def done(kind: str) -> DataFrame | None:
+        found = [f"{base}/{kind}-{w}" for w in waves]
+        return spark.read.parquet(*found) if found else None
+
+    def compare(pairs: DataFrame, name: str) -> bool:
+        """Compares the whole sets of ``pairs`` that were not compared before and whose bitmaps leave room; tells if any was."""
+        new = pairs if not waves else pairs.join(done("pairs"), ["a", "b"], "left_anti")
+        _roomy(new, bitmaps, percent).write.parquet(f"{base}/pairs-{name}")
+        new = spark.read.parquet(f"{base}/pairs-{name}")
+        if new.isEmpty():
+            return False
+        ends = new.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        if waves:
+            ends = ends.join(done("sets").select("id"), "id", "left_anti")
+        _sets_of(rows, ends, width).write.parquet(f"{base}/sets-{name}")
+        waves.append(name)
+        _verified(new, done("sets"), percent).write.parquet(f"{base}/links-{name}")
+        return True
+
+    # first: every group against the one that most of its lists put beside it, every member against the first of its group
+    beside = met.filter(_may_link(percent)).groupBy("a", "b").count()
+    best = beside.groupBy("b").agg(F.max(F.struct("count", "a")).alias("best")).select("best.a", "b")
+    compare(best.unionByName(wide.filter("cls > first").select(F.col("first").alias("a"), F.col("cls").alias("b"))).distinct(), "first")
+
+    def labelled() -> DataFrame:
+        if not waves:
+            return members.withColumn("component", F.col("cls"))
+        known = components(done("links")).select(F.col("id").alias("cls"), "component")
+        return members.join(known, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+
+    def still_open(of_members: DataFrame, name: str) -> DataFrame:
+        """The lists whose members lie in different components."""
+        spread = of_members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        of_lists = lists.join(spread, "grp")
+        unlike = of_lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
+        of_lists.join(unlike, "token").write.parquet(f"{base}/open-{name}")
+        return spark.read.parquet(f"{base}/open-{name}")
+
+    def side_of(df: DataFrame, p: str) -> DataFrame:
+        return df.select("token", *(F.col(c).alias(f"{p}_{c}" if c != "grp" else p) for c in ("grp", "n", "at", "low", "high")))
+
+    apart = F.expr("a <> b and not (a_low = a_high and b_low = b_high and a_low = b_low)")
+
+    def expanded(group_pairs: DataFrame, of_members: DataFrame) -> DataFrame:
+        left = of_members.select(F.col("grp").alias("a"), F.col("cls").alias("x"), F.col("component").alias("x_in"))
+        right = of_members.select(F.col("grp").alias("b"), F.col("cls").alias("y"), F.col("component").alias("y_in"))
+        pairs = group_pairs.join(left, "a").join(right, "b").filter("x_in <> y_in and (a <> b or x < y)")
+        return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    # then, some times: the members of an open list against one of them, the same one in lists of the same members
+    for k in range(PIVOTS):
+        of_members = labelled()
+        lists_left = still_open(of_members, f"pivot{k}")
+        order = F.struct(F.xxhash64("grp", F.lit(k)).alias("order"), "grp", "n", "at", "low", "high")
+        pivot = lists_left.groupBy("token").agg(F.min(order).alias("p")).select("token", "p.grp", "p.n", "p.at", "p.low", "p.high")
+        met_again = side_of(pivot, "a").join(side_of(lists_left, "b"), "token").filter(apart & _may_link(percent)).select("a", "b").distinct()
+        if not compare(expanded(met_again, of_members), f"pivot{k}"):
+            break
+    # last: what a list or a group still holds in different components, pair by pair
+    of_members = labelled()
+    lists_left = still_open(of_members, "rest")
+    group_pairs = side_of(lists_left, "a").join(side_of(lists_left, "b"), "token").filter(apart & F.expr("a < b") & _may_link(percent)).select("a", "b").distinct()
+    unlike = of_members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    inside = unlike.select(F.col("grp").alias("a"), F.col("grp").alias("b"))
+    compare(expanded(group_pairs.unionByName(inside), of_members), "rest")
+
+    links = done("links") if waves else spark.createDataFrame([], "a long, b long")
     reached = components(links).select(F.col("id").alias("cls"), "component")
     of_class = classes.join(reached, "cls", "left").select("n", "first", "second", F.coalesce("component", "cls").alias("component_id"))
     linked = own.filter("n > 0 and doc_id is not null").join(of_class, ["n", "first", "second"]).select("doc_id", "n", "component_id")
     alone = own.filter("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    for name in ("members", "met", "open", "pairs-first", "pairs-rest", "links-first", "links-rest"):
+    for name in ("members", "met", *(f"{kind}-{w}" for kind in ("pairs", "sets", "links") for w in waves)):
         drop_path(spark, f"{base}/{name}")
     return linked.unionByName(alone).select("doc_id", F.col("n").cast("long").alias("n_shingles"), "component_id")
 
