@@ -38,13 +38,16 @@ def padded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out, hops
 
 
-def answers(data: np.ndarray, first: int, last: int, tables: np.ndarray) -> np.ndarray:
-    """Filter answers at every byte of some hops: (hops, HOP, FILTERS)."""
+def answers(data: np.ndarray, hops: np.ndarray, first: int, last: int, tables: np.ndarray) -> np.ndarray:
+    """Filter answers at every byte of some hops: (hops, HOP, FILTERS). Behind a text, where a filter would reach the next one, there is none."""
     a, b = first * HOP, last * HOP
     out = tables[0][data[a:b]]
     for k in range(1, WIDTH):
         out += tables[k][data[a + k:b + k]]
-    return out.reshape(last - first, HOP, -1)
+    out = out.reshape(last - first, HOP, -1)
+    ends = hops[1:] - 1
+    out[ends[(ends >= first) & (ends < last)] - first, HOP - WIDTH + 1:] = -1e9
+    return out
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -84,7 +87,7 @@ class Net:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         laid, hops = padded(data, offsets)
-        pooled = np.concatenate([answers(laid, k, min(k + HELD, int(hops[-1])), self.tables).max(axis=1) for k in range(0, int(hops[-1]), HELD)])
+        pooled = np.concatenate([answers(laid, hops, k, min(k + HELD, int(hops[-1])), self.tables).max(axis=1) for k in range(0, int(hops[-1]), HELD)])
         _, _, mean, most = self.head(self._chunks(pooled, hops), hops)
         return _sigmoid((mean @ self.mean + most @ self.most + self.bias[0]).astype(np.float64))
 
@@ -92,7 +95,7 @@ class Net:
         pooled = np.empty((int(hops[-1]), FILTERS), np.float32)
         place = np.empty((int(hops[-1]), FILTERS), np.int64)
         for k in range(0, int(hops[-1]), HELD):
-            out = answers(data, k, min(k + HELD, int(hops[-1])), self.tables)
+            out = answers(data, hops, k, min(k + HELD, int(hops[-1])), self.tables)
             place[k:k + HELD] = out.argmax(axis=1)
             pooled[k:k + HELD] = np.take_along_axis(out, place[k:k + HELD, None, :], axis=1)[:, 0, :]
         chunks = self._chunks(pooled, hops)

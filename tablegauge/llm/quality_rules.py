@@ -61,8 +61,8 @@ def _figures(texts: pa.Array) -> np.ndarray:
         breaks = np.flatnonzero(data == 10)
         line_starts = np.unique(np.concatenate([offsets[:-1], breaks + 1]))
         line_starts = line_starts[line_starts < len(data)]
-        line_ends = np.minimum(np.append(line_starts[1:], len(data)), len(data))
-        line_ends = line_ends - (data[line_ends - 1] == 10) if len(line_ends) else line_ends
+        line_ends = np.append(line_starts, len(data))[1:]
+        line_ends = line_ends - (data[line_ends - 1] == 10)
         of_word = np.searchsorted(starts, line_starts), np.searchsorted(starts, line_ends)
         full = of_word[1] > of_word[0]
         line_starts, line_ends = line_starts[full], line_ends[full]
