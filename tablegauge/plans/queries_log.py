@@ -181,17 +181,18 @@ ORACLES = {
       {_g('70 + c % 2 * 80')} AS ce_model_version, {_g("CASE WHEN k % 5 = 0 THEN 'TimeOut' END")} AS early_abort_reason, {_g('CAST(c % 100 AS DOUBLE) + 0.5')} AS query_plan_cost,
       {_g('round(CAST(c % 512 AS DOUBLE) / 1024, 4)')} AS statement_cached_plan_size_mb, {_g('round(CAST(k % 400 AS DOUBLE) / 1000, 4)')} AS compile_time_sec,
       {_g('round(CAST(k % 50 AS DOUBLE) / 1000, 4)')} AS compile_cpu_sec, {_g('round(CAST(c % 2048 AS DOUBLE) / 1024, 4)')} AS serial_desired_memory_mb,
+      {_g('round(CAST(k % 128 AS DOUBLE) / 1024, 4)')} AS compile_memory_mb, {_g('round(CAST(c % 512 AS DOUBLE) / 1024, 4)')} AS serial_required_memory_mb,
       {_g('CASE WHEN k % 9 = 0 THEN 2 ELSE 0 END')} AS missing_index_count, {_g('CASE WHEN k % 6 = 0 THEN 2 ELSE 0 END')} AS warning_count,
       {_g(f'CAST({_maxrows} AS DOUBLE)')} AS operator_max_estimated_rows, {_g(f'CAST({_mods} AS DOUBLE)')} AS sum_modification_count FROM o""",
     "plan_flags": f"WITH {O} SELECT k AS plan_id, {', '.join(f'{_g(v)} AS {n}' for n, v in FLAG_SQL.items())} FROM o",
     "plan_list": f"""WITH {O} SELECT k AS plan_id, o_orderpriority || '/' || o_orderstatus AS query_hash,
-      {_g("array_to_string(list_transform(range(0, c % 5 + 1), lambda i: 'db.dbo.t' || i || '.s' || c % 7), ',')")} AS stats_list, CASE WHEN good THEN c % 5 + 1 ELSE 0 END AS number_of_referenced_stats,
-      {_g("'t1.ix_' || k % 3 || CASE WHEN o_orderstatus = 'F' THEN ',t1.pk' ELSE '' END")} AS index_list,
+      {_g("array_to_string(list_transform(range(0, c % 5 + 1), lambda i: 'd''b.dbo.t' || i || '.s>' || c % 7), ',')")} AS stats_list, CASE WHEN good THEN c % 5 + 1 ELSE 0 END AS number_of_referenced_stats,
+      {_g("'db.dbo.t1.ix_' || k % 3 || CASE WHEN o_orderstatus = 'F' THEN ',db.dbo.t1.pk' ELSE '' END")} AS index_list,
       CASE WHEN NOT good THEN 0 WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS number_of_referenced_indexes FROM o""",
     "plan_lookup": f"""WITH {O} SELECT k AS plan_id, CASE WHEN c % 2 = 0 THEN 'Row lookup on t1' ELSE 'Key lookup on t1.pk' END || ' because column(s) (a) are missing on index t1.ix_' || k % 3 AS lookup_comment
       FROM o WHERE good AND o_orderstatus = 'F'""",
     "plan_distinct": f"""WITH {O} SELECT k AS plan_id, round(ln(o_totalprice), 2) AS query_impact, CASE WHEN k % 7 = 0 THEN 'h1' ELSE array_to_string(list_transform(range(1, c % 4 + 2), lambda i: 'c' || i), ', ') END AS referenced_columns,
-      CASE WHEN k % 7 = 0 THEN 1 ELSE c % 4 + 1 END AS cnt_referenced_columns FROM o WHERE good AND k % 7 <= 1 AND c % 3 = 0 ORDER BY 2 DESC, 1 LIMIT 1000""",
+      CASE WHEN k % 7 = 0 THEN 1 ELSE c % 4 + 1 END AS cnt_referenced_columns FROM o WHERE good AND k % 7 <= 1 AND c % 3 = 0""",
     "plan_many_refs": f"WITH {O} SELECT k AS plan_id, c % 5 + 1 AS number_of_referenced_stats FROM o WHERE good AND c % 5 + 1 >= 4",
     "plan_stale_refs": f"WITH {O} SELECT k AS plan_id, CAST({_mods} AS DOUBLE) AS sum_modification_count FROM o WHERE good AND {_mods} >= 1000",
 }

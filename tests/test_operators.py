@@ -118,8 +118,32 @@ def test_keywords_both_ways(spark):
     df = spark.createDataFrame(texts, "id long, text string")
     kw = spark.createDataFrame([(w,) for w in words + ["Update", ""]], "keyword string")
     want = {(i, w) for i, t in texts if t for w in words if w in t.lower()}
-    for limit in (200, 2):
-        assert {tuple(r) for r in keyword_hits(df, "id", "text", kw, limit).collect()} == want
+    assert sorted(tuple(r) for r in keyword_hits(df, "id", "text", kw).collect()) == sorted(want)
+
+
+def test_keywords_of_texts_with_one_id(spark):
+    df = spark.createDataFrame([(1, "alpha beta"), (1, "beta"), (1, "beta"), (None, "alpha")], "id long, text string")
+    kw = spark.createDataFrame([("alpha",), ("beta",)], "keyword string")
+    assert sorted((r.id or 0, r.keyword) for r in keyword_hits(df, "id", "text", kw).collect()) == [(0, "alpha"), (1, "alpha"), (1, "beta"), (1, "beta"), (1, "beta")]
+
+
+def test_plan_documents_beyond_plain_names(spark):
+    doc = """<P><StmtSimple StatementType="SELECT"><QueryPlan CachedPlanSize="2e+03"><MemoryGrantInfo SerialDesiredMemory="1024" SerialRequiredMemory="512"/>
+      <OptimizerStatsUsage><StatisticsInfo Database="d" Table="O'Brien" Statistics="a>b" ModificationCount="6e+02"/><StatisticsInfo Statistics='x Table="y"' Table="t&#65;" ModificationCount="5e+02"/></OptimizerStatsUsage>
+      <StatisticsInfo Statistics="elsewhere"/>
+      <RelOp NodeId="0" PhysicalOp="x" EstimateRows="3"><NestedLoops><RelOp
+        NodeId="1" EstimateRows="2e+06"><OutputList><ColumnReference Database="d" Column="outer_only"/></OutputList><IndexScan><Object Database="a" Table="t" Index="i"/><ColumnReference Database="d" Column="a"/></IndexScan></RelOp>
+      <RelOp NodeId="2" EstimateRows="9e+06"><IndexScan Lookup="1"><Object Database="b" Table="t" Index="i" IndexKind="Clustered"/><ColumnReference Database="d" Column="z"/></IndexScan></RelOp></NestedLoops></RelOp>
+      <RelOp NodeId="3"><IndexScan><Object Table="outside" Index="o"/></IndexScan></RelOp></QueryPlan></StmtSimple></P>"""
+    plans = spark.createDataFrame([(1, "h", doc, 1.0), (2, "h", "<a>", 1.0), (3, "h", None, 1.0)], "plan_id long, query_hash string, plan_doc string, query_impact double")
+    scalars = plandoc.plan_scalars(plans).orderBy("plan_id").first()
+    assert (scalars.operator_max_estimated_rows, scalars.sum_modification_count, scalars.statement_cached_plan_size_mb) == (9e6, 1100.0, 1.9531)
+    assert scalars.serial_required_memory_mb == 0.5
+    lists = plandoc.plan_stats(plans).orderBy("plan_id").first()
+    assert lists.stats_list == """d.O'Brien.a>b,tA.x Table="y\"""" and lists.number_of_referenced_stats == 2
+    assert lists.index_list == "a.t.i,b.t.i,outside.o" and lists.number_of_referenced_indexes == 3
+    assert [tuple(r) for r in plandoc.lookup_comments(plans).collect()] == [(1, "Key lookup on t.i because column(s) (a) are missing on index t.i")]
+    assert [r.plan_id for r in plandoc.stale_refs(plans, 1000).collect()] == [1]
 
 
 def test_two_hops_nothing_found(spark):
