@@ -23,7 +23,7 @@ MOST_FREQUENT = 1 << 20
 #: Bits of the filter that tells which documents a second reading must look at: two megabytes, whatever the size of the data.
 FILTER_BITS = 1 << 24
 #: Shingles that a task holds at once.
-HELD = 1 << 23
+HELD = 1 << 21
 #: Words of 64 bits in a document's bitmap, which tells most unlike pairs apart before whole sets are fetched.
 BITMAP = 16
 #: Rounds in which a list that is still open is compared with one of its members, before its rest is compared pairwise.
