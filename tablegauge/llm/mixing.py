@@ -22,11 +22,13 @@ def _shares(**shares: float) -> dict[str, float]:
 @dataclass(frozen=True)
 class Targets:
     """Shares of all tokens by source, language and topic. What is not named counts as ``other``; shares of groups without
-    tokens are left out, the rest are scaled to one. There are as many cells as named groups allow, whatever the data."""
+    tokens are left out, the rest are scaled to one. ``keep`` is the part of all tokens to take in sum, as far as the groups have
+    enough. There are as many cells as named groups allow, whatever the data."""
 
     source: dict[str, float] = field(default_factory=lambda: _shares(src0=0.30, src1=0.04, src2=0.04, src3=0.03, other=0.59))
     lang: dict[str, float] = field(default_factory=lambda: _shares(en=0.62, de=0.16, fr=0.13, es=0.08, other=0.01))
     topic: dict[str, float] = field(default_factory=lambda: _shares(prose=0.92, contact=0.02, license=0.03, table=0.02, shout=0.01))
+    keep: float = 0.7
     rounds: int = 30
 
 
@@ -61,11 +63,16 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
 def calibrated(cells: DataFrame, targets: Targets) -> DataFrame:
     """(_source, _lang, _topic, _tokens) -> the same with ``_p``, the share of each cell's tokens to take.
 
-    Iterative proportional fitting: weights start as the tokens, and each step scales the groups of one margin to their shares. The
-    steps are one expression over one row that holds the cells. The largest probability is 1.
+    Iterative proportional fitting: weights start as the tokens, and each step scales the groups of one margin to their shares of
+    ``targets.keep`` times all tokens. No cell gives more than it has: its weight ends at its tokens, and the cells beside it in a
+    group make up for it in the next round. So a group that has too little gives all of it and leaves the others alone. The
+    steps are one expression over one row that holds the cells.
     """
     cells = cells.filter("_tokens > 0")
-    row = cells.agg(F.sort_array(F.collect_list(F.struct("_source", "_lang", "_topic", F.col("_tokens").cast("double").alias("w"), "_tokens"))).alias("cells"))
+    row = cells.agg(
+        F.sort_array(F.collect_list(F.struct("_source", "_lang", "_topic", F.col("_tokens").cast("double").alias("w"), "_tokens"))).alias("cells"),
+        (F.sum("_tokens") * F.lit(float(targets.keep))).alias("total"),
+    )
     margins = [("_source", targets.source), ("_lang", targets.lang), ("_topic", targets.topic)]
 
     def raked(name: str, shares: dict[str, float], state: Column) -> Column:
@@ -75,8 +82,11 @@ def calibrated(cells: DataFrame, targets: Targets) -> DataFrame:
         place = F.create_map(*[F.lit(x) for g, k in zip(groups, range(len(groups))) for x in (g, k)])
         sums = F.aggregate(state, zero, lambda a, c: F.transform(a, lambda v, k: v + F.when(F.element_at(place, c[name]) == k, c["w"]).otherwise(0.0)))
         wanted = F.array(*[F.lit(float(shares[g])) for g in groups])
-        factors = F.zip_with(sums, wanted, lambda s, t: F.when(s > 0, t / s).otherwise(0.0))
-        return _once(factors, lambda f: F.transform(state, lambda c: c.withField("w", c["w"] * F.element_at(f, F.element_at(place, c[name]) + 1))))
+        present = F.aggregate(F.zip_with(sums, wanted, lambda s, t: F.when(s > 0, t).otherwise(0.0)), F.lit(0.0), lambda a, t: a + t)
+        factors = _once(present, lambda of: F.zip_with(sums, wanted, lambda s, t: F.when((s > 0) & (of > 0), F.col("total") * t / of / s).otherwise(0.0)))
+        return _once(factors, lambda f: F.transform(state, lambda c: c.withField(
+            "w", F.least(c["w"] * F.element_at(f, F.element_at(place, c[name]) + 1), c["_tokens"].cast("double"))
+        )))
 
     def step(state: Column, _: Column) -> Column:
         for name, shares in margins:
@@ -84,10 +94,7 @@ def calibrated(cells: DataFrame, targets: Targets) -> DataFrame:
         return state
 
     fitted = row.select(F.aggregate(F.sequence(F.lit(1), F.lit(targets.rounds)), F.col("cells"), step).alias("cells"))
-    ratio = F.transform("cells", lambda c: F.struct(c["_source"].alias("_source"), c["_lang"].alias("_lang"), c["_topic"].alias("_topic"), (c["w"] / c["_tokens"]).alias("r")))
-    return fitted.select(ratio.alias("cells")).select(F.explode("cells").alias("c"), F.array_max(F.transform("cells", lambda c: c["r"])).alias("most")).select(
-        "c._source", "c._lang", "c._topic", F.when(F.col("most") > 0, F.round(F.col("c.r") / F.col("most"), 9)).otherwise(0.0).alias("_p")
-    )
+    return fitted.select(F.explode("cells").alias("c")).select("c._source", "c._lang", "c._topic", F.round(F.col("c.w") / F.col("c._tokens"), 9).alias("_p"))
 
 
 def draw(doc_id: Column) -> Column:
@@ -129,16 +136,18 @@ def oracle(table: str = "documents", targets: Targets | None = None) -> str:
     for k in range(3 * targets.rounds):
         name = steps[k % 3]
         shares = [targets.source, targets.lang, targets.topic][k % 3]
-        rounds += f"r{k} AS MATERIALIZED (SELECT source_group, lang_group, topic, tokens, coalesce(w * {share(name, shares)} / nullif(sum(w) OVER (PARTITION BY {name}), 0), 0) AS w FROM {previous}),\n"
+        present = f"(SELECT sum({share(name, shares)}) FROM (SELECT DISTINCT {name} FROM {previous} WHERE w > 0))"
+        factor = f"(SELECT total FROM whole) * {share(name, shares)} / nullif({present}, 0) / nullif(sum(w) OVER (PARTITION BY {name}), 0)"
+        rounds += f"r{k} AS MATERIALIZED (SELECT source_group, lang_group, topic, tokens, least(w * coalesce({factor}, 0), tokens::DOUBLE) AS w FROM {previous}),\n"
         previous = f"r{k}"
     return f"""
     WITH d AS (SELECT doc_id, source, lang, coalesce(text, '') AS body FROM {table}),
     named AS (SELECT doc_id, len(regexp_extract_all(body, '{_WORD}'))::BIGINT AS tokens, {group('source', targets.source)} AS source_group,
       {group('lang', targets.lang)} AS lang_group, {group(f'({topic})', targets.topic)} AS topic FROM d),
     cells AS (SELECT source_group, lang_group, topic, sum(tokens)::BIGINT AS tokens, sum(tokens)::DOUBLE AS w FROM named GROUP BY ALL HAVING sum(tokens) > 0),
+    whole AS (SELECT sum(tokens)::DOUBLE * {float(targets.keep)!r}::DOUBLE AS total FROM cells),
     {rounds}
-    ratios AS (SELECT *, w / tokens AS r, max(w / tokens) OVER () AS most FROM {previous}),
-    p AS (SELECT source_group, lang_group, topic, CASE WHEN most > 0 THEN round(r / most, 9) ELSE 0 END AS probability FROM ratios)
+    p AS (SELECT source_group, lang_group, topic, round(w / tokens, 9) AS probability FROM {previous})
     SELECT doc_id, tokens, source_group, lang_group, topic, coalesce(probability, 0) AS probability,
       ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE < coalesce(probability, 0) AS kept
     FROM named LEFT JOIN p USING (source_group, lang_group, topic)

@@ -191,15 +191,28 @@ def test_redaction_keeps_rows_and_columns(spark, docs):
 def test_mixing_meets_its_marginals(spark):
     rows = [(k, "w " * (k % 7 + 1), "src0" if k % 3 == 0 else f"src{k % 5}" if k % 4 else None, ["en", "de", None][k % 3 if k % 2 else 0]) for k in range(600)] + [(None, None, None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
-    targets = mixing.Targets(source={"src0": 0.5, "other": 0.5}, lang={"en": 0.5, "de": 0.3, "other": 0.2}, topic={"prose": 1.0, "table": 0.4}, rounds=60)
+    targets = mixing.Targets(source={"src0": 0.5, "other": 0.5}, lang={"en": 0.5, "de": 0.3, "other": 0.2}, topic={"prose": 1.0, "table": 0.4}, keep=0.3, rounds=60)
     out = mixing.mix_sources(df, targets).toPandas()
-    assert len(out) == len(rows) and out["_p"].max() == 1.0
+    assert len(out) == len(rows) and out["_p"].max() <= 1.0
     out["taken"] = out["_p"] * out["_tokens"]
+    assert abs(out["taken"].sum() - 0.3 * out["_tokens"].sum()) < 1e-3
     shares = out.groupby("_lang")["taken"].sum() / out["taken"].sum()
     assert abs(shares["en"] - 0.5) < 1e-4 and abs(shares["de"] - 0.3) < 1e-4
     assert abs(out[out["_source"] == "src0"]["taken"].sum() / out["taken"].sum() - 0.5) < 1e-4
 
 
+def test_mixing_with_a_group_far_below_its_share(spark):
+    """One document of a language that is to have a tenth of all tokens: it is taken whole, and the others keep their part."""
+    rows = [(k, "w " * 10, f"src{k % 2}", "en") for k in range(400)] + [(400, "w " * 3, "src1", "de")]
+    targets = mixing.Targets(source={"src0": 0.5, "other": 0.5}, lang={"en": 0.9, "de": 0.1}, topic={"prose": 1.0}, keep=0.6)
+    out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), targets).toPandas()
+    out["taken"] = out["_p"] * out["_tokens"]
+    assert out[out["doc_id"] == 400]["_p"].item() == 1.0
+    assert 0.5 < out["taken"].sum() / out["_tokens"].sum() <= 0.6 + 1e-9
+    assert abs(out[out["_source"] == "src0"]["taken"].sum() / out["taken"].sum() - 0.5) < 0.01
+    assert 180 < out["_kept"].sum() < 290
+
+
 def test_url_rules_on_odd_urls(spark):
     urls = [None, "", "no scheme", "http://", "HTTP://WWW.Example.NET/en/1", "https://a.example.com/de/x?y#z", "https://example.com?de/", "x://org/fr/", "x://borg/fr/", "http://net", "http://net/", "https://a.b/c#://net/",
             "https://Cheap-Pills.io/", "http://cheap.io/pills", "https://shop.free.bets.io"]
