@@ -19,13 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.llm.memory import frugal
 from tablegauge.llm.pieces import PieceTable, byte_level_cuts, odd_rows
 from tablegauge.llm.words import blocks
 
 #: Stands for the end of a word inside this module.
 _END = "\uffff"
 #: Words and pairs of tokens that a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _NEVER = 1 << 60
 
 
@@ -213,4 +214,4 @@ def encode_documents(docs: DataFrame, vocabulary: str, with_ids: bool = False) -
     Pieces that no token crosses are encoded once per task while it remembers them; ``vocabulary`` is a path that every executor has.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(vocabulary, with_ids), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(_encoder(vocabulary, with_ids)), schema)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablegauge.llm.components import components
+from tablegauge.llm.memory import frugal
 from tablegauge.llm.words import blocks, hashes, mix, spans, windows
 from tablegauge.session import drop_path, scratch_path
 
@@ -74,7 +75,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "frequent")
-    local = docs.select("text").mapInArrow(_frequent_in(width), "shingle long, docs long")
+    local = docs.select("text").mapInArrow(frugal(_frequent_in(width)), "shingle long, docs long")
     local.groupBy("shingle").agg(F.sum("docs").alias("docs")).write.parquet(path)
     counted = spark.read.parquet(path)
     sizes = counted.groupBy(F.least("docs", F.lit(100_000)).alias("docs")).count().orderBy(F.desc("docs")).collect()
@@ -201,7 +202,7 @@ def _sets_of(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate(sets)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["id", "shingles"])
 
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")).mapInArrow(frugal(run), "id long, shingles array<long>")
 
 
 def _compare(percent: int) -> Callable:
@@ -233,7 +234,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = salted.join(sets.withColumnRenamed("id", "b"), "b").select("a", "salt", "b", "shingles")
     heads = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("id", "a"), "a").select("a", "salt", F.lit(None).cast("long").alias("b"), "shingles")
     rows = members.unionByName(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return rows.mapInArrow(_compare(percent), "a long, b long")
+    return rows.mapInArrow(frugal(_compare(percent)), "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataFrame:
@@ -254,7 +255,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     base = scratch_path(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(_frequent(rows, width))
-    rows.mapInArrow(_prefixes(width, percent, frequent), "doc_id long, n int, first long, second long, prefix array<long>, bits array<long>").write.parquet(f"{base}/prefixes")
+    rows.mapInArrow(frugal(_prefixes(width, percent, frequent)), "doc_id long, n int, first long, second long, prefix array<long>, bits array<long>").write.parquet(f"{base}/prefixes")
     prefixes = spark.read.parquet(f"{base}/prefixes")
     prefixes.select("doc_id", "n", "first", "second").write.parquet(f"{base}/own")
     own = spark.read.parquet(f"{base}/own")
@@ -271,7 +272,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     leaders = key.select(F.col("doc_id").alias("grp"), "n", "prefix").join(named, "grp").dropDuplicates(["grp"])
 
     # lists of prefix shingles: one group per task and shingle goes on, the others stay beside it
-    local = leaders.mapInArrow(_local_lists, _LISTS)
+    local = leaders.mapInArrow(frugal(_local_lists), _LISTS)
     by_token = Window.partitionBy("token").orderBy("a")
     tops = [F.first(c).over(by_token).alias(f"top{c[1:]}") for c in ("a", "a_n", "a_at")]
     across = local.filter("b is null").select("token", "a", "a_n", "a_at").select("*", *tops).filter("a > top")

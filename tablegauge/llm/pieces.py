@@ -8,9 +8,9 @@ import numpy as np
 
 from tablegauge.llm.words import hashes
 
-#: Pieces and ids that a task remembers, some 150 MB; then it starts anew.
-MOST_PIECES = 3_000_000
-MOST_IDS = 24_000_000
+#: Pieces and ids that a task remembers, some 60 MB; then it starts anew.
+MOST_PIECES = 1_000_000
+MOST_IDS = 8_000_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True

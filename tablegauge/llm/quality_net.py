@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from tablegauge.llm.memory import frugal
 from tablegauge.llm.words import blocks
 
 #: The sample that is learnt from: at most so many labelled documents of each label and so many bytes, whatever the size of the tables.
@@ -192,5 +193,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     fields = [f for f in docs.schema.fields if f.name not in ("score", "held_out", "predicted")]
     plain = docs.select(*(f.name for f in fields))
-    scored = plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
+    scored = plain.mapInArrow(frugal(run), StructType([*plain.schema.fields, StructField("score", DoubleType())]))
     return scored.withColumn("held_out", held_out(F.col("doc_id"))).withColumn("predicted", (F.col("score") >= KEEP_FROM).cast("int"))

@@ -11,14 +11,24 @@ from tablegauge.llm import bpe, embedding_dedup, html_text, jaccard_join, mixing
 from tablegauge.session import ship_package
 
 
+#: Rows in an Arrow batch: some 7 MB of common texts.
+BATCH_ROWS = 2000
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Ships this package, and lets Python workers and the JVM hold fewer whole texts at once."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablegauge.llm.memory import frugal
 from tablegauge.llm.words import blocks
 
 #: The base rules, in the order in which spans are listed; group 2 of ``assign`` has 6 characters or more, the others as many as said.
@@ -288,7 +289,7 @@ def find_secrets(docs: DataFrame, added: dict[str, str] | None = None) -> DataFr
     spans. Extra columns are ignored; an empty table gives an empty one.
     """
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(ADDED if added is None else added), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(_scan(ADDED if added is None else added)), schema)
 
 
 def redact_secrets(docs: DataFrame, added: dict[str, str] | None = None) -> DataFrame:
@@ -298,7 +299,7 @@ def redact_secrets(docs: DataFrame, added: dict[str, str] | None = None) -> Data
         return docs
     others = [c for c in docs.columns if c != "text"]
     ordered = docs.select(*others, "text")
-    out = ordered.mapInArrow(_redactor(ADDED if added is None else added), ordered.schema)
+    out = ordered.mapInArrow(frugal(_redactor(ADDED if added is None else added)), ordered.schema)
     if "n_chars" in others:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
