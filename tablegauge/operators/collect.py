@@ -88,7 +88,7 @@ def prefix_sizes(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFr
 
 def _sizes(values: DataFrame) -> DataFrame:
     return values.groupBy("rowid", "n").agg(
-        F.count(F.lit(1)).alias("distinct_values"), (F.sum(F.col("key_bytes") * F.col("s1")) / F.sum("s1")).alias("average_length"),
+        F.count(F.lit(1)).alias("distinct_values"), F.try_divide(F.sum(F.col("key_bytes") * F.col("s1")), F.sum("s1")).alias("average_length"),
         F.sum("s1").alias("rows_sampled"))
 
 
@@ -204,7 +204,7 @@ def catalogue(defs: DataFrame, profile: DataFrame, density: DataFrame, steps: Da
         F.sum("s1").alias("rows_sampled"),
         F.sum("f0").alias("rows_now"),
         F.max("key_bytes").alias("max_key_bytes"),
-        (F.sum(F.col("key_bytes") * F.col("s1")) / F.sum("s1")).alias("average_key_length"),
+        F.try_divide(F.sum(F.col("key_bytes") * F.col("s1")), F.sum("s1")).alias("average_key_length"),
     )
     n_steps = steps.filter("snap = 1").groupBy("rowid").agg(F.max("stepnumber").alias("found_steps"))
     full = density.groupBy("rowid").agg(

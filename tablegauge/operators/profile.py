@@ -87,16 +87,18 @@ def merge_sketches(sketches: DataFrame) -> DataFrame:
     return sketches.agg(F.sum("rows").alias("rows"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct_values"))
 
 
-def usage_rollup(log: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Usage counters summed over partitions: accesses by kind, waits and their average and total time."""
-    n = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
-    ms = F.coalesce(F.sum(F.when(F.col("kind") == "error", F.col("wait_ms"))), F.lit(0))
-    g = log.groupBy(*by).agg(
-        n("view").alias("seeks"), n("click").alias("scans"), n("purchase").alias("lookups"), n("signup").alias("changes"),
-        n("error").alias("waits"), ms.alias("wait_ms"))
+def usage_rollup(log: DataFrame, by: Sequence[str], counters: dict[str, str], waits: str = "waits") -> DataFrame:
+    """Usage counters summed over partitions, and the time of waits: its sum, average and text.
+
+    ``counters`` maps the name of a counter to the ``kind`` of access that it counts, such as range scans, lookups, latch waits or leaf
+    changes; ``waits`` is the one of them whose ``wait_ms`` is summed.
+    """
+    counted = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    ms = F.coalesce(F.sum(F.when(F.col("kind") == counters[waits], F.col("wait_ms"))), F.lit(0))
+    g = log.groupBy(*by).agg(*[counted(kind).alias(name) for name, kind in counters.items()], ms.alias("wait_ms"))
     return g.select(
-        *by, "seeks", "scans", "lookups", "changes", "waits", "wait_ms",
-        F.when(F.col("waits") > 0, ratio(F.col("wait_ms"), F.col("waits"), 2)).otherwise(0.0).alias("avg_wait_ms"),
+        *by, *counters, "wait_ms",
+        F.when(F.col(waits) > 0, ratio(F.col("wait_ms"), F.col(waits), 2)).otherwise(0.0).alias("avg_wait_ms"),
         seconds_text(F.call_function("div", F.col("wait_ms"), F.lit(1000).cast("long"))).alias("wait_time"),
     )
 

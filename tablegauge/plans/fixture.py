@@ -60,6 +60,10 @@ def names_of_stats() -> list[str]:
     return [f"{db[s.table]}.{s.table}.{s.name}" for s in STAT_DEFS]
 
 
+#: What the events stand for: counter of usage, type of event.
+ACCESS_KINDS = {"seeks": "view", "scans": "click", "lookups": "purchase", "changes": "signup", "waits": "error"}
+
+
 def access_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accesses of statistics, one per event: which one, what kind and how long ago."""
     ev = read_named(spark, sf_dir, "events")

@@ -12,7 +12,7 @@ from ..operators.histogram import histogram
 from ..operators.profile import sampled
 from ..sources.definitions import stat_columns
 from ..sources.tables import collect_all, count_events, read_events, read_named
-from .fixture import access_log, collected, names_of_stats
+from .fixture import ACCESS_KINDS, access_log, collected, names_of_stats
 from .oracle_base import q, ratio, with_collected
 
 STALE = "2000-01-01"
@@ -66,7 +66,7 @@ def _hist(table, key, where=None):
 
 
 def stat_history(spark, sf):
-    return collected(spark, sf)["stat_history"].filter("rowid IN (3, 13)").withColumns(
+    return collected(spark, sf)["stat_history"].withColumns(
         {c: F.col(c).cast("long") for c in ("rowid", "history_number", "steps")})
 
 
@@ -90,7 +90,7 @@ def stat_partition_merge(spark, sf):
 
 def usage_rollup(spark, sf):
     log = access_log(spark, sf).withColumn("rowid", F.col("rowid").cast("long"))
-    return prof.usage_rollup(log, ["rowid"])
+    return prof.usage_rollup(log, ["rowid"], ACCESS_KINDS)
 
 
 def usage_attach(spark, sf):
@@ -253,7 +253,7 @@ ORACLES = {
     "stat_histogram_int": _hist_select("orders", "o_custkey"), "stat_histogram_date": _hist_select("lineitem", "l_shipdate"),
     "stat_histogram_decimal": _hist_select("lineitem", "l_extendedprice"),
     "stat_history": with_collected("""SELECT CAST(rowid AS BIGINT) AS rowid, CAST(history_number AS BIGINT) AS history_number, updated, table_cardinality, steps, density, rows_above, rows_below,
-      inserts_since_last_update, CAST(deletes_since_last_update AS BIGINT) AS deletes_since_last_update, leading_column_type FROM history WHERE rowid IN (3, 13)"""),
+      inserts_since_last_update, CAST(deletes_since_last_update AS BIGINT) AS deletes_since_last_update, leading_column_type FROM history"""),
     "stat_sampled": _header("lineitem", "l_partkey", "8", "TRUE", "l_orderkey % 100 < 20"),
     "stat_filtered": _header("lineitem", "l_shipdate", "8", "l_returnflag = 'R'", "TRUE"),
     "stat_partition_merge": """WITH v AS (SELECT CAST(year(o_orderdate) AS VARCHAR) AS part, o_custkey AS k, count(*) AS cnt, count(*) FILTER (WHERE o_orderdate > TIMESTAMP '2001-01-01') AS ch FROM orders GROUP BY ALL),

@@ -52,8 +52,9 @@ def append_results(df: DataFrame, path: str, cleanup: bool = False) -> DataFrame
 
 
 def export_plans(plans: DataFrame, path: str) -> None:
-    """One folder of plan text per query hash."""
-    plans.select("query_hash", F.col("plan_doc").alias("value")).write.mode("overwrite").partitionBy("query_hash").text(path)
+    """One folder per query hash with one file of its plan texts."""
+    texts = plans.select("query_hash", F.col("plan_doc").alias("value"))
+    texts.repartition("query_hash").write.mode("overwrite").partitionBy("query_hash").text(path)
 
 
 def cleanup(spark: SparkSession, prefix: str) -> list[str]:

@@ -5,12 +5,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablegauge.operators import plandoc
+from tablegauge.operators.accuracy import accuracy_top
 from tablegauge.operators.asof import asof_join
 from tablegauge.operators.checks_catalogue import check_missing_multicol, reference_frame
 from tablegauge.operators.checks_events import check_nearest_event
 from tablegauge.operators.checks_history import check_cadence, check_hidden_ascending, check_steps_changed
 from tablegauge.operators.collect import leading_type
-from tablegauge.operators.profile import merge_sketches, sketch_partitions, stat_header, write_partition_stats, partition_stats
+from tablegauge.operators.histogram import histogram
+from tablegauge.operators.profile import merge_sketches, partition_stats, sketch_partitions, stat_header, usage_rollup, write_partition_stats
 from tablegauge.operators.querylog import counter_delta, log_top
 from tablegauge.operators.report import Metric, check_label, natural_order, priority_counts, run_all, summary
 from tablegauge.operators.texts import keyword_hits, keyword_two_hops
@@ -246,3 +248,21 @@ def test_counters_and_top(spark):
     m = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "query_hash string, query_impact double")
     assert [r.query_hash for r in log_top(m, 2).collect()] == ["c", "a"]
     assert log_top(m, skip=True).count() == 0
+
+
+def test_accuracy_goes_on_after_a_key_that_fails_while_it_runs(spark):
+    rows = spark.range(40).selectExpr("id % 7 AS good", "CAST(id AS string) AS word")
+    bad = rows.withColumn("bad", F.expr("IF(word = '9', CAST(raise_error('no value') AS bigint), 1L)"))
+    stat = spark.createDataFrame([(1, "t", "bad", 9, 0, 40), (2, "t", "good", 5, 0, 40), (3, "gone", "k", 4, 0, 40)],
+                                 "rowid long, table_name string, key_column_name string, user_seeks long, user_lookups long, current_number_of_rows long")
+    of_good = histogram(rows, "good")
+    found = accuracy_top({"t": bad}, stat, lambda rowid, df, key: of_good)
+    assert [r[0] for r in found.select("rowid").distinct().collect()] == [2]
+    assert found.agg(F.sum("actual_eq_rows") + F.sum("actual_range_rows")).first()[0] == 40
+
+
+def test_usage_counters_are_named_by_the_caller(spark):
+    log = spark.createDataFrame([(1, "latch", 1500), (1, "latch", None), (1, "range", 7), (2, "range", 7)], "rowid long, kind string, wait_ms long")
+    got = {r.rowid: (r.range_scans, r.latch_waits, r.wait_ms, r.avg_wait_ms) for r in usage_rollup(
+        log, ["rowid"], {"range_scans": "range", "latch_waits": "latch"}, "latch_waits").collect()}
+    assert got == {1: (1, 2, 1500, 750.0), 2: (1, 0, 0, 0.0)}
