@@ -2,12 +2,15 @@
 
 Every vector holds a list of near neighbours. Lists start from blocks of vectors that lie side by side in the order of random
 projections, and get better by joins: two neighbours of one vector are likely to be near each other. Lists whose last
-entry still is above the threshold are saturated and grow. Pairs above the threshold are the links; an audit against brute
-force on a bounded sample tells whether another start is needed. Groups with saturated lists are compared whole, in blocks.
+entry still is above the threshold are saturated and grow. Joins go on until the lists no longer change. Pairs above the
+threshold are the links; an audit against brute force on a sample tells whether another start is needed, and the job fails rather
+than return links below the bound. Groups with saturated lists are compared whole, in blocks.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,13 +21,18 @@ from pyspark.sql import functions as F
 from tablegauge.llm.components import components
 from tablegauge.session import drop_path, scratch_path
 
-#: Neighbours in a list, at first; a saturated list doubles in each round.
-NEIGHBOURS = 6
-#: Random orders that lists start from, bits of each, and vectors of a block in such an order.
-ORDERS, BITS, BLOCK = 8, 10, 48
-ROUNDS = 3
-#: The audit: so many linked vectors and so many of all, a lower recall starts anew, at most so many times.
-AUDITED, LEAST_RECALL, STARTS = 150, 0.98, 3
+log = logging.getLogger(__name__)
+
+#: Neighbours in a list, at first; a saturated list doubles in each round, up to the second figure.
+NEIGHBOURS, MOST_NEIGHBOURS = 6, 48
+#: Vectors of a block in a random order, and orders that are shuffled at a time.
+BLOCK, ORDERS = 48, 8
+#: The share of pairs at the threshold that may have another code in all orders of a start; the joins find most of them.
+APART = 0.003
+#: The lists have come to rest when at most this share of the entries is new.
+MOVING = 0.001
+#: The audit: so many linked vectors and so many of all, a lower recall starts anew; after so many starts the job fails.
+AUDITED, LEAST_RECALL, STARTS = 150, 0.98, 8
 #: Vectors in a block of a group that is compared whole.
 CHUNK = 256
 
@@ -47,18 +55,36 @@ _COUNT = {"id": pa.int64(), "n": pa.int64()}
 _COUNTS = "id long, n long"
 
 
-def _ordered(dimension: int, seed: int) -> Callable:
-    """Each vector with its place in ``ORDERS`` random orders: sign bits of projections, then one more projection."""
+def bits_of(rows: int) -> int:
+    """Bits of an order's code in a label of so many vectors: half a block to a code. None where one block holds all."""
+    return max(0, math.ceil(math.log2(rows / (BLOCK // 2)))) if rows > BLOCK else 0
+
+
+def orders_of(rows: int, least: float) -> int:
+    """Random orders of a label of so many vectors, so that a pair at the threshold has one code in at least one, but for ``APART``."""
+    same = (1 - math.acos(max(-1.0, min(1.0, least))) / math.pi) ** bits_of(rows)
+    return math.ceil(math.log(APART) / math.log1p(-same)) if same < 1 else 1
+
+
+def _ordered(dimension: int, seed: int, first: int, least: float) -> Callable:
+    """Each vector with its place in its label's random orders from ``first``: sign bits of projections, then one more projection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(seed).normal(size=(ORDERS, BITS + 1, dimension))
+        known: dict[int, tuple[int, int]] = {}
         for batch in batches:
             x = _unit(batch.column("vec"))
-            for t in range(ORDERS):
-                side = x @ planes[t].T
-                code = ((side[:, :BITS] > 0) << np.arange(BITS)).sum(axis=1)
+            for n in set(batch.column("rows").to_pylist()) - known.keys():
+                known[n] = bits_of(n), orders_of(n, least)
+            bits, orders = np.array([known[n] for n in batch.column("rows").to_pylist()], np.int64).reshape(-1, 2).T
+            for t in range(first, min(first + ORDERS, int(orders.max(initial=0)))):
+                at = np.flatnonzero(orders > t)
+                most = int(bits[at].max())
+                planes = np.random.default_rng([seed, t]).normal(size=(64, dimension))[:most + 1]
+                side = x[at] @ planes.T  # the first projection gives the place inside a code
+                code = (((side[:, 1:] > 0) & (np.arange(most) < bits[at, None])).astype(np.int64) << np.arange(most)).sum(axis=1)
+                part = batch.take(pa.array(at))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("label"), pa.array(np.full(len(x), t, np.int32)), pa.array(code.astype(np.int32)), pa.array(side[:, BITS]), batch.column("id"), batch.column("vec")],
+                    [part.column("label"), pa.array(np.full(len(at), t, np.int32)), pa.array(code), pa.array(side[:, 0]), part.column("id"), part.column("vec")],
                     names=["label", "t", "code", "place", "id", "vec"],
                 )
 
@@ -144,33 +170,39 @@ def _joined(width: int) -> Callable:
 
 
 def _lists(pairs: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """The best entries of each list: (a, b, cosine, rank). ``sizes`` has (a, size) of the lists that are larger than usual."""
-    unique = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
+    """The best entries of each list: (a, b, cosine, new, rank, size). ``sizes`` has (a, size) of the lists that are larger than usual."""
+    unique = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("new").alias("new"))
     if sizes is None:
         unique = unique.withColumn("size", F.lit(NEIGHBOURS))
     else:
         unique = unique.join(sizes, "a", "left").withColumn("size", F.coalesce("size", F.lit(NEIGHBOURS)))
     ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
-    return ranked.filter("rank <= size").select("a", "b", "cosine", "rank", "size")
+    return ranked.filter("rank <= size").select("a", "b", "cosine", "new", "rank", "size")
 
 
-def _starts(vectors: DataFrame, dimension: int, seed: int) -> DataFrame:
-    placed = vectors.mapInArrow(_ordered(dimension, seed), "label long, t int, code int, place double, id long, vec " + vectors.schema["vec"].dataType.simpleString())
+def _starts(vectors: DataFrame, dimension: int, seed: int, first: int, least: float) -> DataFrame:
+    sized = vectors.join(vectors.groupBy("label").agg(F.count(F.lit(1)).alias("rows")), "label")
+    placed = sized.mapInArrow(_ordered(dimension, seed, first, least), "label long, t int, code long, place double, id long, vec " + vectors.schema["vec"].dataType.simpleString())
     keys = ["label", "t", "code", "place", "id"]
     return placed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_in_blocks(NEIGHBOURS), _PAIRS)
 
 
 def _round(vectors: DataFrame, lists: DataFrame) -> DataFrame:
-    """Neighbours of neighbours: pairs of entries of one vector's list, and of vectors whose lists it is on."""
-    reverse = lists.select(F.col("b").alias("mid"), F.col("a").alias("id"), "cosine", "size")
+    """Neighbours of neighbours: pairs of entries of one vector's list, and of vectors whose lists it is on.
+
+    A vector among whose neighbours nobody is new has been through this with the same ones.
+    """
+    reverse = lists.select(F.col("b").alias("mid"), F.col("a").alias("id"), "cosine", "new", "size")
     # of those whose lists a vector is on, as many as its own list holds; dealt out first, so that a hub is cut down in many tasks
     slot = F.pmod(F.xxhash64("id"), F.lit(16))
     near = Window.partitionBy("mid", "slot").orderBy(F.desc("cosine"), "id")
     cut = reverse.withColumn("slot", slot).withColumn("rank", F.row_number().over(near)).filter("rank <= size")
     cut = cut.withColumn("rank", F.row_number().over(Window.partitionBy("mid").orderBy(F.desc("cosine"), "id"))).filter("rank <= size")
-    members = lists.select(F.col("a").alias("mid"), F.col("b").alias("id")).unionByName(cut.select("mid", "id")).distinct()
-    members = members.unionByName(lists.select(F.col("a").alias("mid"), F.col("a").alias("id")).distinct())
-    last = lists.groupBy(F.col("a").alias("id")).agg(F.min("cosine").alias("last"))
+    members = lists.select(F.col("a").alias("mid"), F.col("b").alias("id"), "new").unionByName(cut.select("mid", "id", "new"))
+    members = members.groupBy("mid").agg(F.collect_set("id").alias("ids"), F.max("new").alias("new")).filter("new")
+    members = members.select("mid", F.explode(F.array_union("ids", F.array("mid"))).alias("id"))
+    # a list that is short takes any pair
+    last = lists.groupBy(F.col("a").alias("id")).agg(F.when(F.count(F.lit(1)) < NEIGHBOURS, -2.0).otherwise(F.min("cosine")).alias("last"))
     rows = members.join(vectors.select("id", "vec").join(last, "id"), "id").select("mid", "id", "last", "vec")
     return rows.repartition("mid").sortWithinPartitions("mid").mapInArrow(_joined(NEIGHBOURS), _PAIRS)
 
@@ -242,7 +274,8 @@ def embedding_classes(rows: DataFrame, least: float = 0.98) -> DataFrame:
     and zero vectors, those with null or non-finite components, of a squared length beyond double precision, and rows with a
     null vec_id link with nothing; a null vec_id has a null class. Only vectors of one length are compared. One row per row;
     equal vectors of one label count as linked and are compared once. Extra columns are ignored; an empty table gives an
-    empty one. Every returned link is at or above ``least``; links may be missed, see ``audited_recall``.
+    empty one. Every returned link is at or above ``least``; links may be missed, see ``audited_recall``. A recall
+    below ``LEAST_RECALL`` after ``STARTS`` starts raises.
     """
     spark = rows.sparkSession
     base = scratch_path(spark, "embeddings")
@@ -269,27 +302,38 @@ def embedding_classes(rows: DataFrame, least: float = 0.98) -> DataFrame:
 def _links_of(vectors: DataFrame, dimension: int, least: float, base: str) -> None:
     """Writes ``links`` (a, b, both ways) and ``counts`` (id, n) of vectors of one length."""
     spark = vectors.sparkSession
-    pairs, sizes = None, None
+    pairs, sizes, lists = None, None, None
     number = 0
+    most = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     for start in range(STARTS):
-        fresh = _starts(vectors, dimension, 100 + start)
-        fresh = fresh if pairs is None else fresh.unionByName(spark.read.parquet(pairs).select("a", "b", "cosine"))
-        links = 0
-        for k in range(ROUNDS + 1):
+        first, round_ = 0, 0
+        while True:
+            if first < orders_of(most, least):
+                fresh = _starts(vectors, dimension, 100 + start, first, least)
+                first += ORDERS
+            else:
+                fresh, round_ = _round(vectors, lists), round_ + 1
+            fresh = fresh.withColumn("new", F.lit(True))
+            if lists is not None:
+                # entries of the start, from all its orders, are new to the first join
+                joined = F.lit(False) if round_ else F.col("new")
+                fresh = fresh.unionByName(lists.select("a", "b", "cosine", joined.alias("new")))
             path = f"{base}/{number}"
             _lists(fresh, sizes).write.parquet(path)
             if pairs:
                 drop_path(spark, pairs)
             pairs, number = path, number + 1
             lists = spark.read.parquet(pairs)
-            state = lists.filter(F.col("cosine") >= least).agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("rank") == F.col("size"), 1)).alias("full")).first()
-            if k == ROUNDS or state["n"] == links:
+            if first < orders_of(most, least):
+                continue
+            # a saturated list is not waited for: its component is compared whole
+            full = lists.filter((F.col("cosine") >= least) & (F.col("rank") == F.col("size")))
+            state = lists.join(full.select("a").distinct(), "a", "left_anti").agg(F.count(F.lit(1)).alias("n"), F.count_if("new").alias("new")).first()
+            log.info("start %d, join %d: %d entries, %d of them new", start, round_, state["n"], state["new"])
+            if state["new"] <= MOVING * state["n"]:
                 break
-            links = state["n"]
-            if state["full"]:
-                full = lists.filter((F.col("cosine") >= least) & (F.col("rank") == F.col("size"))).select("a", (2 * F.col("size")).alias("size")).distinct()
-                sizes = _larger(sizes, full, f"{base}/sizes-{number}")
-            fresh = _round(vectors, lists).unionByName(lists.select("a", "b", "cosine"))
+            grown = full.filter(F.col("size") < MOST_NEIGHBOURS).select("a", (2 * F.col("size")).alias("size")).distinct()
+            sizes = _larger(sizes, grown, f"{base}/sizes-{number}")
         near = lists.filter(F.col("cosine") >= least)
         both = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
         both.write.parquet(f"{base}/links-{start}")
@@ -298,11 +342,13 @@ def _links_of(vectors: DataFrame, dimension: int, least: float, base: str) -> No
         _counts(vectors, found, saturated, least).write.parquet(f"{base}/counts-{start}")
         counts = spark.read.parquet(f"{base}/counts-{start}")
         recall = audited_recall(vectors, counts, least)
-        if start == STARTS - 1 or recall >= LEAST_RECALL:
+        log.info("start %d: recall %.4f", start, recall)
+        if recall >= LEAST_RECALL:
             found.write.parquet(f"{base}/links")
             counts.write.parquet(f"{base}/counts")
             drop_path(spark, pairs)
             return
+    raise RuntimeError(f"{STARTS} starts found {recall:.4f} of the links of the sample, not {LEAST_RECALL}")
 
 
 def _counts(vectors: DataFrame, links: DataFrame, saturated: DataFrame, least: float) -> DataFrame:

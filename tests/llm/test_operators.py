@@ -121,6 +121,21 @@ def test_embeddings_equal_all_pairs(spark):
     assert all(got[i] == (0, i, True) for i in range(500, 508)) and got[None] == (0, None, None)
 
 
+def test_embeddings_below_the_recall_bound_are_no_result(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "audited_recall", lambda *_: 0.5)
+    monkeypatch.setattr(embedding_dedup, "STARTS", 2)
+    rows = [(k, [1.0, float(k)], 0) for k in range(4)]
+    with pytest.raises(RuntimeError, match="0.5"):
+        embedding_dedup.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+
+
+def test_embedding_orders_grow_with_the_label():
+    assert (embedding_dedup.bits_of(40), embedding_dedup.orders_of(40, 0.98)) == (0, 1)
+    for n in (1_000, 100_000, 40_000_000):
+        assert 12 <= n / 2 ** embedding_dedup.bits_of(n) <= 24
+    assert embedding_dedup.orders_of(1_000, 0.98) < embedding_dedup.orders_of(100_000, 0.98) < embedding_dedup.orders_of(40_000_000, 0.98)
+
+
 def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
