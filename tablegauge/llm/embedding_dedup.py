@@ -4,7 +4,9 @@ Every vector holds a list of near neighbours. Lists start from blocks of vectors
 projections, and get better by joins: two neighbours of one vector are likely to be near each other. Lists whose last
 entry still is above the threshold are saturated and grow. Joins go on until the lists no longer change. Pairs above the
 threshold are the links; an audit against brute force on a sample tells whether another start is needed, and the job fails rather
-than return links below the bound. Groups with saturated lists are compared whole, in blocks.
+than return links below the bound. Lists drop pairs, bridges do not: each block of vectors that is compared leaves a forest over all its
+pairs above the threshold. Components with saturated lists are compared with each other where their centres are near, and
+whole, in blocks.
 """
 
 from __future__ import annotations
@@ -49,8 +51,11 @@ def _batch(schema: dict[str, pa.DataType], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.values())], names=list(schema))
 
 
+#: A pair without a cosine is a bridge: both ends are in one component.
 _PAIR = {"a": pa.int64(), "b": pa.int64(), "cosine": pa.float64()}
 _PAIRS = "a long, b long, cosine double"
+_EDGE = {"a": pa.int64(), "b": pa.int64()}
+_EDGES = "a long, b long"
 _COUNT = {"id": pa.int64(), "n": pa.int64()}
 _COUNTS = "id long, n long"
 
@@ -91,6 +96,22 @@ def _ordered(dimension: int, seed: int, first: int, least: float) -> Callable:
     return run
 
 
+def _forest(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``ids`` (groups, size) and who is near whom in a group: each id with the smallest of its component, but that one itself."""
+    low = ids
+    while True:
+        least = np.minimum(low, np.where(near, low[:, None, :], np.iinfo(np.int64).max).min(axis=2))
+        if (least == low).all():
+            return ids[low != ids], low[low != ids]
+        low = least
+
+
+def _with_bridges(pairs: tuple[np.ndarray, ...], bridges: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    a, b, cosine = pairs
+    cosines = pa.array(np.concatenate([cosine, np.zeros(len(bridges[0]))]), mask=np.arange(len(a) + len(bridges[0])) >= len(a))
+    return _batch(_PAIR, np.concatenate([a, bridges[0]]), np.concatenate([b, bridges[1]]), cosines)
+
+
 def _best(ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     np.fill_diagonal(sims, -2)
     k = min(most, len(ids) - 1)
@@ -100,13 +121,15 @@ def _best(ids: np.ndarray, sims: np.ndarray, most: int) -> tuple[np.ndarray, np.
     return np.repeat(ids, k), ids[at].ravel(), np.take_along_axis(sims, at, axis=1).ravel()
 
 
-def _in_blocks(most: int) -> Callable:
+def _in_blocks(most: int, least: float) -> Callable:
     """Rows in order: pairs of near vectors inside blocks of neighbours in that order, half of each block shared with the next."""
 
     def pairs(held: list[tuple]) -> pa.RecordBatch:
         ids = np.array([h[0] for h in held])
         x = np.stack([h[1] for h in held])
-        return _batch(_PAIR, *_best(ids, x @ x.T, most))
+        sims = x @ x.T
+        bridges = _forest(ids[None], (sims >= least)[None])
+        return _with_bridges(_best(ids, sims, most), bridges)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -126,14 +149,14 @@ def _in_blocks(most: int) -> Callable:
     return run
 
 
-def _joined(width: int) -> Callable:
-    """Rows in order of ``mid``: pairs of its neighbours that are better than the last entry of the first one's list."""
+def _joined(least: float) -> Callable:
+    """Rows in order of ``mid``: pairs of its neighbours that are better than the last entry of the first one's list, and bridges."""
     limit = 20_000
 
     def pairs(mid: np.ndarray, ids: np.ndarray, last: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
         first = np.concatenate([[0], np.flatnonzero(np.diff(mid)) + 1, [len(mid)]])
         sizes = np.diff(first)
-        left, right, cosines = [], [], []
+        left, right, cosines, bridges = [], [], [], []
         for size in np.unique(sizes):
             if size < 2:
                 continue
@@ -141,6 +164,9 @@ def _joined(width: int) -> Callable:
             for part in np.array_split(groups, max(1, groups.size * int(size) // 400_000)):
                 sims = np.matmul(x[part], x[part].transpose(0, 2, 1))
                 sims[:, np.arange(size), np.arange(size)] = -2
+                near = sims >= least
+                tied = near.any(axis=(1, 2))
+                bridges.append(_forest(ids[part[tied]], near[tied]))
                 g, i, j = np.nonzero(sims > last[part][:, :, None])
                 left.append(ids[part[g, i]])
                 right.append(ids[part[g, j]])
@@ -149,7 +175,8 @@ def _joined(width: int) -> Callable:
             return _batch(_PAIR, [], [], [])
         found = np.stack([np.concatenate(left), np.concatenate(right)], axis=1)
         found, at = np.unique(found, axis=0, return_index=True)
-        return _batch(_PAIR, found[:, 0], found[:, 1], np.concatenate(cosines)[at])
+        bridges = np.unique(np.concatenate([np.stack(f, axis=1) for f in bridges]), axis=0)
+        return _with_bridges((found[:, 0], found[:, 1], np.concatenate(cosines)[at]), (bridges[:, 0], bridges[:, 1]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -170,24 +197,25 @@ def _joined(width: int) -> Callable:
 
 
 def _lists(pairs: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """The best entries of each list: (a, b, cosine, new, rank, size). ``sizes`` has (a, size) of the lists that are larger than usual."""
-    unique = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("new").alias("new"))
+    """The best entries of each list and all bridges: (a, b, cosine, new, bridge, rank, size), of other bridges without cosine. ``sizes`` has (a, size) of the lists that are larger than usual."""
+    unique = pairs.groupBy("a", "b").agg(F.max("cosine").alias("cosine"), F.min("new").alias("new"), F.max("bridge").alias("bridge"))
     if sizes is None:
         unique = unique.withColumn("size", F.lit(NEIGHBOURS))
     else:
         unique = unique.join(sizes, "a", "left").withColumn("size", F.coalesce("size", F.lit(NEIGHBOURS)))
-    ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b")))
-    return ranked.filter("rank <= size").select("a", "b", "cosine", "new", "rank", "size")
+    ranked = unique.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc_nulls_last("cosine"), "b")))
+    listed = F.col("cosine").isNotNull() & (F.col("rank") <= F.col("size"))
+    return ranked.withColumn("cosine", F.when(listed, F.col("cosine"))).filter("cosine is not null or bridge").select("a", "b", "cosine", "new", "bridge", "rank", "size")
 
 
 def _starts(vectors: DataFrame, dimension: int, seed: int, first: int, least: float) -> DataFrame:
     sized = vectors.join(vectors.groupBy("label").agg(F.count(F.lit(1)).alias("rows")), "label")
     placed = sized.mapInArrow(_ordered(dimension, seed, first, least), "label long, t int, code long, place double, id long, vec " + vectors.schema["vec"].dataType.simpleString())
     keys = ["label", "t", "code", "place", "id"]
-    return placed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_in_blocks(NEIGHBOURS), _PAIRS)
+    return placed.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(_in_blocks(NEIGHBOURS, least), _PAIRS)
 
 
-def _round(vectors: DataFrame, lists: DataFrame) -> DataFrame:
+def _round(vectors: DataFrame, lists: DataFrame, least: float) -> DataFrame:
     """Neighbours of neighbours: pairs of entries of one vector's list, and of vectors whose lists it is on.
 
     A vector among whose neighbours nobody is new has been through this with the same ones.
@@ -204,7 +232,7 @@ def _round(vectors: DataFrame, lists: DataFrame) -> DataFrame:
     # a list that is short takes any pair
     last = lists.groupBy(F.col("a").alias("id")).agg(F.when(F.count(F.lit(1)) < NEIGHBOURS, -2.0).otherwise(F.min("cosine")).alias("last"))
     rows = members.join(vectors.select("id", "vec").join(last, "id"), "id").select("mid", "id", "last", "vec")
-    return rows.repartition("mid").sortWithinPartitions("mid").mapInArrow(_joined(NEIGHBOURS), _PAIRS)
+    return rows.repartition("mid").sortWithinPartitions("mid").mapInArrow(_joined(least), _PAIRS)
 
 
 def _against(queries: np.ndarray, ids: np.ndarray, labels: np.ndarray, least: float) -> Callable:
@@ -284,13 +312,12 @@ def embedding_classes(rows: DataFrame, least: float = 0.98) -> DataFrame:
     marked = plain.withColumn("sound", sound).withColumn("digest", F.xxhash64("vec"))
     marked.filter("sound").groupBy("label", "vec").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")).write.parquet(f"{base}/vectors")
     vectors = spark.read.parquet(f"{base}/vectors")
-    lengths = [r["d"] for r in vectors.select(F.size("vec").alias("d")).distinct().orderBy("d").limit(1000).collect()]
+    lengths = [r["d"] for r in vectors.select(F.size("vec").alias("d")).distinct().orderBy("d").collect()]
 
     for d in lengths or [1]:
         _links_of(vectors.filter(F.size("vec") == d), d, least, f"{base}/length-{d}")
-    links = spark.read.parquet(*(f"{base}/length-{d}/links" for d in lengths or [1]))
+    reached = spark.read.parquet(*(f"{base}/length-{d}/reached" for d in lengths or [1])).withColumnRenamed("component", "component_id")
     counted = spark.read.parquet(*(f"{base}/length-{d}/counts" for d in lengths or [1]))
-    reached = components(links.filter("a < b").select("a", "b")).withColumnRenamed("component", "component_id")
     per_class = vectors.join(counted, "id", "left").join(reached, "id", "left").select(
         "label", "vec", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
     )
@@ -300,9 +327,9 @@ def embedding_classes(rows: DataFrame, least: float = 0.98) -> DataFrame:
 
 
 def _links_of(vectors: DataFrame, dimension: int, least: float, base: str) -> None:
-    """Writes ``links`` (a, b, both ways) and ``counts`` (id, n) of vectors of one length."""
+    """Writes ``reached`` (id, component) and ``counts`` (id, n) of the linked vectors of one length."""
     spark = vectors.sparkSession
-    pairs, sizes, lists = None, None, None
+    pairs, sizes, kept, lists = None, None, None, None
     number = 0
     most = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     for start in range(STARTS):
@@ -312,18 +339,19 @@ def _links_of(vectors: DataFrame, dimension: int, least: float, base: str) -> No
                 fresh = _starts(vectors, dimension, 100 + start, first, least)
                 first += ORDERS
             else:
-                fresh, round_ = _round(vectors, lists), round_ + 1
-            fresh = fresh.withColumn("new", F.lit(True))
-            if lists is not None:
+                fresh, round_ = _round(vectors, lists, least), round_ + 1
+            fresh = fresh.withColumn("new", F.lit(True)).withColumn("bridge", F.col("cosine").isNull())
+            if kept is not None:
                 # entries of the start, from all its orders, are new to the first join
                 joined = F.lit(False) if round_ else F.col("new")
-                fresh = fresh.unionByName(lists.select("a", "b", "cosine", joined.alias("new")))
+                fresh = fresh.unionByName(kept.select("a", "b", "cosine", joined.alias("new"), "bridge"))
             path = f"{base}/{number}"
             _lists(fresh, sizes).write.parquet(path)
             if pairs:
                 drop_path(spark, pairs)
             pairs, number = path, number + 1
-            lists = spark.read.parquet(pairs)
+            kept = spark.read.parquet(pairs)
+            lists = kept.filter("cosine is not null")
             if first < orders_of(most, least):
                 continue
             # a saturated list is not waited for: its component is compared whole
@@ -339,23 +367,105 @@ def _links_of(vectors: DataFrame, dimension: int, least: float, base: str) -> No
         both.write.parquet(f"{base}/links-{start}")
         found = spark.read.parquet(f"{base}/links-{start}")
         saturated = near.filter(F.col("rank") >= NEIGHBOURS).select(F.col("a").alias("id")).distinct()
-        _counts(vectors, found, saturated, least).write.parquet(f"{base}/counts-{start}")
+        edges = found.filter("a < b").unionByName(kept.filter("bridge").select("a", "b"))
+        of = components(edges)
+        across = _across(vectors, of, of.join(saturated, "id").select("component").distinct(), least, f"{base}/across-{start}")
+        of = components(edges.unionByName(across)) if across.limit(1).count() else of
+        _counts(vectors, found, of, saturated, least).write.parquet(f"{base}/counts-{start}")
         counts = spark.read.parquet(f"{base}/counts-{start}")
         recall = audited_recall(vectors, counts, least)
         log.info("start %d: recall %.4f", start, recall)
         if recall >= LEAST_RECALL:
-            found.write.parquet(f"{base}/links")
+            of.write.parquet(f"{base}/reached")
             counts.write.parquet(f"{base}/counts")
             drop_path(spark, pairs)
             return
     raise RuntimeError(f"{STARTS} starts found {recall:.4f} of the links of the sample, not {LEAST_RECALL}")
 
 
-def _counts(vectors: DataFrame, links: DataFrame, saturated: DataFrame, least: float) -> DataFrame:
+def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], vec: str, others: tuple[str, ...]) -> Iterator[tuple]:
+    """Rows in order of ``keys``, group by group: the key, the vectors and the other columns as arrays."""
+    held: list[tuple] = []
+    current = None
+    for batch in batches:
+        x = _unit(batch.column(vec))
+        rest = [batch.column(c).to_pylist() for c in others]
+        for k, key in enumerate(zip(*(batch.column(c).to_pylist() for c in keys))):
+            if key != current:
+                if held:
+                    yield current, np.stack([h[0] for h in held]), [np.array(c) for c in zip(*(h[1:] for h in held))]
+                held, current = [], key
+            held.append((x[k], *(c[k] for c in rest)))
+    if held:
+        yield current, np.stack([h[0] for h in held]), [np.array(c) for c in zip(*(h[1:] for h in held))]
+
+
+def _angles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cosine = (_unit(batch.column("vec")) * _unit(batch.column("centre"))).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column("component"), pa.array(np.arccos(np.clip(cosine, -1, 1)))], names=["component", "angle"])
+
+
+def _close(least: float) -> Callable:
+    """Centres with radii, in order of (label, low, high): pairs of components whose members can be near."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reach = math.acos(max(-1.0, min(1.0, least))) + 1e-6
+        for _, x, (ids, radii) in _groups(batches, ("label", "low", "high"), "centre", ("component", "radius")):
+            i, j = np.nonzero((np.arccos(np.clip(x @ x.T, -1, 1)) <= radii[:, None] + radii + reach) & (ids[:, None] < ids))
+            yield _batch(_EDGE, ids[i], ids[j])
+
+    return run
+
+
+def _touch(least: float) -> Callable:
+    """Members of two components, block by block: the pair of components where a pair of members is near."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (a, b, _, _), x, (sides,) in _groups(batches, ("a", "b", "p", "q"), "vec", ("component",)):
+            if (x[sides == a] @ x[sides == b].T >= least).any():
+                yield _batch(_EDGE, [a], [b])
+
+    return run
+
+
+def _across(vectors: DataFrame, of: DataFrame, full: DataFrame, least: float, base: str) -> DataFrame:
+    """(a, b): pairs of the components ``full`` that hold a link, whatever the lists know of it.
+
+    A component's centre is the member that names it, its radius the angle to the farthest one. Pairs that are too far apart
+    for a link by these are left out; all others are compared member by member, in blocks.
+    """
+    spark = vectors.sparkSession
+    inside = of.join(full, "component")
+    parts = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))
+    dealt = inside.join(parts, "component").withColumn("part", F.expr("cast(pmod(xxhash64(id), parts) as int)"))
+    dealt.join(vectors.select("id", "label", "vec"), "id").write.parquet(f"{base}/members")
+    members = spark.read.parquet(f"{base}/members")
+    centres = members.filter("id = component").select("component", "label", "parts", F.col("vec").alias("centre"))
+    by_part = centres.select("component", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"), "centre")
+    angles = members.join(by_part, ["component", "part"]).select("component", "vec", "centre").mapInArrow(_angles, "component long, angle double")
+    radii = angles.groupBy("component").agg(F.max("angle").alias("radius"))
+    blocks = centres.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("blocks"))
+    met = centres.join(radii, "component").join(blocks, "label").withColumn("block", F.expr("cast(pmod(xxhash64(component), blocks) as int)"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "label", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "component", "radius", "centre"
+    )
+    keys = ["label", "low", "high"]
+    met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_close(least), _EDGES).distinct().write.parquet(f"{base}/close")
+    close = spark.read.parquet(f"{base}/close")
+    if not close.limit(1).count():
+        return close
+    sized = close.join(parts.select(F.col("component").alias("a"), F.col("parts").alias("ps")), "a").join(parts.select(F.col("component").alias("b"), F.col("parts").alias("qs")), "b")
+    tasks = sized.withColumn("p", F.explode(F.expr("sequence(0, ps - 1)"))).withColumn("q", F.explode(F.expr("sequence(0, qs - 1)"))).select("a", "b", "p", "q")
+    held = members.select("component", "part", "vec")
+    sides = tasks.withColumn("component", F.col("a")).withColumn("part", F.col("p")).unionByName(tasks.withColumn("component", F.col("b")).withColumn("part", F.col("q")))
+    keys = ["a", "b", "p", "q"]
+    sides.join(held, ["component", "part"]).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_touch(least), _EDGES).distinct().write.parquet(f"{base}/links")
+    return spark.read.parquet(f"{base}/links")
+
+
+def _counts(vectors: DataFrame, links: DataFrame, of: DataFrame, saturated: DataFrame, least: float) -> DataFrame:
     """(id, n): the weight of the vectors linked with each. Components that hold a saturated list are compared whole, in blocks
     of ``CHUNK`` vectors against each other, so that their figures do not depend on the length of any list."""
     weights = vectors.select("id", "weight")
-    of = components(links.filter("a < b").select("a", "b"))
     full = of.join(saturated, "id").select("component").distinct()
     inside = of.join(full, "component")
     parts = inside.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts"))

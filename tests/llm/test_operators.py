@@ -136,6 +136,23 @@ def test_embedding_orders_grow_with_the_label():
     assert embedding_dedup.orders_of(1_000, 0.98) < embedding_dedup.orders_of(100_000, 0.98) < embedding_dedup.orders_of(40_000_000, 0.98)
 
 
+def test_embedding_families_larger_than_their_lists(spark, monkeypatch):
+    """Two tight families whose only links across are worse than all of a list, and that no join brings together."""
+    rng = np.random.default_rng(5)
+    axes, _ = np.linalg.qr(rng.normal(size=(32, 32)))
+    angle = np.arccos(0.985)
+    x = [c + rng.normal(size=32) * 0.001 for c in (axes[0], np.cos(angle) * axes[0] + np.sin(angle) * axes[1], axes[2]) for _ in range(60)]
+    rows = [(k, [float(v) for v in u], 0) for k, u in enumerate(x)]
+    inside = lambda ids: [(a, b) for a in ids for b in ids if a < b]
+    links = spark.createDataFrame(inside(range(60)) + inside(range(60, 120)) + inside(range(120, 180)), "a long, b long")
+    of = components.components(links)
+    vectors = spark.createDataFrame([(k, u, l) for k, u, l in rows], "id long, vec array<double>, label long")
+    across = embedding_dedup._across(vectors, of, of.select("component").distinct(), 0.98, scratch_path(spark, "across"))
+    assert [tuple(r) for r in across.collect()] == [(0, 60)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.embedding_classes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {k: (119, 0) if k < 120 else (59, 120) for k in range(180)}
+
+
 def test_token_files_round_trip(spark, docs):
     from tokenizers import Tokenizer
 
