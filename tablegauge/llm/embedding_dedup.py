@@ -33,8 +33,10 @@ BLOCK, ORDERS = 48, 8
 APART = 0.003
 #: The lists have come to rest when at most this share of the entries is new.
 MOVING = 0.001
-#: The audit: so many linked vectors and so many of all, a lower recall starts anew; after so many starts the job fails.
-AUDITED, LEAST_RECALL, STARTS = 150, 0.98, 8
+#: The audit: a recall below the bound starts anew; after so many starts the job fails.
+LEAST_RECALL, STARTS = 0.98, 8
+#: Vectors of the sample besides the root of all; linked ones that the sample of all should hold, and how often it may be widened for them.
+AUDITED, LINKED, WIDENED = 150, 50, 8
 #: Vectors in a block of a group that is compared whole.
 CHUNK = 256
 
@@ -246,17 +248,29 @@ def _against(queries: np.ndarray, ids: np.ndarray, labels: np.ndarray, least: fl
 
 
 def audited_recall(vectors: DataFrame, counts: DataFrame, least: float) -> float:
-    """The share of the true links of a bounded sample, half of it linked vectors, that ``counts`` (id, n) has; 1 without any."""
+    """The share of sampled vectors with links whose links all are in ``counts`` (id, n); 1 without any.
+
+    The lower share of two samples: of all vectors and of those linked in ``counts``. Each vector counts once, however many links
+    it has. The samples grow with the root of the rows; where links are rare, that of all is widened so that it can hold some.
+    """
     order = F.xxhash64("id", F.lit(7))
-    linked = counts.filter("n > 0").select("id").orderBy(order).limit(AUDITED)
-    picked = linked.unionByName(vectors.select("id").orderBy(order).limit(AUDITED)).distinct()
+    linked = counts.filter("n > 0").select("id")
+    rows, known = vectors.count(), linked.count()
+    size = AUDITED + math.isqrt(rows)
+    wide = min(size * WIDENED, max(size, math.ceil(LINKED * rows / max(known, 1))))
+    picked = linked.orderBy(order).limit(size).withColumn("of_all", F.lit(False)).unionByName(vectors.select("id").orderBy(order).limit(wide).withColumn("of_all", F.lit(True)))
+    picked = picked.groupBy("id").agg(F.max("of_all").alias("of_all"))
     sample = vectors.join(F.broadcast(picked), "id").select("id", "label", "vec").toArrow().combine_chunks()
     if not sample.num_rows:
         return 1.0
     ids, labels = (sample.column(c).to_numpy() for c in ("id", "label"))
     true = vectors.mapInArrow(_against(_unit(sample.column("vec").combine_chunks()), ids, labels, least), _COUNTS).groupBy("id").agg(F.sum("n").alias("true"))
-    r = true.join(counts, "id", "left").agg(F.sum("true").alias("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("found")).first()
-    return r["found"] / r["true"] if r["true"] else 1.0
+    judged = true.filter(F.col("true") > 0).join(counts, "id", "left").join(picked, "id").withColumn("whole", F.coalesce("n", F.lit(0)) >= F.col("true"))
+    r = judged.agg(*(F.count_if(c).alias(n) for n, c in (
+        ("all", F.col("of_all")), ("all_whole", F.col("of_all") & F.col("whole")), ("linked", F.col("n") > 0), ("linked_whole", (F.col("n") > 0) & F.col("whole")))
+    )).first()
+    log.info("audit: %d of %d linked vectors whole in a sample of %d of all, %d of %d among the linked", r["all_whole"], r["all"], wide, r["linked_whole"], r["linked"])
+    return min(r[f"{k}_whole"] / r[k] if r[k] else 1.0 for k in ("all", "linked"))
 
 
 def _whole(least: float) -> Callable:
