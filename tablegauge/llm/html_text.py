@@ -3,7 +3,7 @@
 Markup is stripped to lines, one per block of text; what the markup itself names as furniture (menus, headers, footers, adverts,
 forms, scripts) leaves empty lines, as does the space between containers. The lengths of lines are summed over sliding windows. A
 stretch of text begins where the sum surges from nothing and ends where it dives to nothing; stretches that reach the
-threshold are the main text.
+threshold are the main text. An article's border is a gap, and its lines weigh more; they are chosen by the same sums as all others.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 #: Lines in a window, and characters that one window of a stretch must reach; half of the fullest window is enough in a short page.
 WINDOW = 3
 THRESHOLD = 80
+#: A character of an article counts as so many.
+WEIGHT = 80
 
 #: Elements of HTML by their role.
 _RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "title", "select")
@@ -53,33 +55,40 @@ def _is_furniture(name: str, attributes: str, inside_main: bool) -> bool:
     return bool(_HIDDEN.search(attributes)) or name not in ("html", "body", *_MAIN) and any(_NAMES.search(next(filter(None, m.groups()), "")) for m in _MARKED.finditer(attributes))
 
 
+def _left_open(page: str, at: int, name: str, depth: int) -> bool:
+    """Fewer ends of ``name`` follow than are due: one of the ``depth`` open ones was never closed."""
+    tags = re.findall(rf"<(/?){name}(?=[\s/>])", page[at:], re.IGNORECASE)
+    return 2 * tags.count("/") - len(tags) < depth
+
+
 def lines_of(page: str) -> tuple[list[str], np.ndarray]:
-    """The lines of a page, empty ones where furniture or containers lie, and which of them are inside an article."""
+    """The lines of a page, empty ones where furniture or containers lie, and what a character of each weighs."""
     lines: list[str] = []
-    inside: list[bool] = []
+    weights: list[int] = []
     current: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, furniture, main
-    dropped = mains = 0
+    stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, main, furniture around an article that is taken none the less
+    dropped = mains = weak = 0
 
     def end_line() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(current))).strip()
         current.clear()
         if text:
             lines.append(text)
-            inside.append(mains > 0)
+            weights.append(WEIGHT if mains and not weak else 1)
 
     def gap() -> None:
         end_line()
         lines.extend([""] * WINDOW)
-        inside.extend([mains > 0] * WINDOW)
+        weights.extend([1] * WINDOW)
 
     def pop() -> None:
-        nonlocal dropped, mains
-        name, furniture, main = stack.pop()
+        nonlocal dropped, mains, weak
+        _, furniture, main, around = stack.pop()
         if furniture or main:
             gap()
-        dropped -= furniture
+        dropped += around - furniture
         mains -= main
+        weak -= around > 0
 
     at = 0
     while at < len(page):
@@ -118,28 +127,30 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray]:
             while stack and stack[-1][0] in ("head", "title"):
                 pop()
         furniture = _is_furniture(name, attributes, mains > 0)
+        # a form may be around the whole page, and a menu may lack its end: the sums decide on an article in them, without its weight
+        around = dropped if name in _MAIN and all(
+            o[0] == "form" or _left_open(page, at, o[0], sum(p[0] == o[0] for p in stack)) for o in stack if o[1]
+        ) else 0
+        dropped -= around
+        weak += around > 0
         main = name in _MAIN and not dropped
         if furniture or main:
             if not dropped:
                 gap()
             dropped += furniture
             mains += main
-        stack.append((name, furniture, main))
+        stack.append((name, furniture, main, around))
     if not dropped:
         end_line()
-    return lines, np.array(inside, bool)
+    return lines, np.array(weights, np.int64)
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
     """The main text of one page; blocks in page order, each with its white space made single spaces, joined by a line break."""
     if not page:
         return ""
-    lines, inside = lines_of(page)
-    if inside.any() and any(t for t, i in zip(lines, inside) if i):
-        # the page says where its article is: its border is the surge and the dive
-        lines = [t if i else "" for t, i in zip(lines, inside)]
-        threshold = 1
-    lengths = np.array([len(t) for t in lines], np.int64)
+    lines, weights = lines_of(page)
+    lengths = np.array([len(t) for t in lines], np.int64) * weights
     if not lengths.any():
         return ""
     sums = np.convolve(lengths, np.ones(window, np.int64))[window - 1:]  # of the line and those after it

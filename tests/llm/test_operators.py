@@ -286,6 +286,15 @@ def test_html_text(spark):
         assert r["text"] == "\n".join(y for y in (" ".join(html.unescape(z).split()) for z in blocks) if y)
 
 
+def test_html_text_where_the_article_tag_misleads():
+    long = "long text of the page " * 20
+    teaser = f"<body><article><p>Short teaser</p></article><div><p>{long}</p></div></body>"
+    assert html_text.main_text(teaser) == "Short teaser\n" + long.strip()
+    for around in ("<body><form>{}</form></body>", "<body><nav><a>Menu</a>{}", "<body><aside><p>side</p>{}</body>"):
+        assert html_text.main_text(around.format(f"<article><p>{long}</p></article>")) == long.strip(), around
+    assert html_text.main_text(f"<body><p>{long}</p><aside><article><p>{long}</p></article></aside></body>") == long.strip()
+
+
 def test_repetition_rules_on_odd_texts(docs):
     got = {r["doc_id"]: r for r in quality_rules.repetition_rules(docs).collect()}
     assert (got[0]["n_words"], got[0]["kept"], got[2]["word_chars"]) == (0, False, 0)
