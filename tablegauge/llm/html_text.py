@@ -27,6 +27,8 @@ WEIGHT = 80
 _RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "canvas", "title", "select")
 _FURNITURE = {"nav", "footer", "aside", "form", "head", "menu", "dialog", "button", "figcaption"}
 _MAIN = {"article", "main"}
+#: Raw or furniture outside an article only; inside, their text is text: captions, formulas, buttons.
+_TEXT_INSIDE = {"textarea", "svg", "math", "object", "canvas", "select", "dialog", "button", "figcaption"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "param", "source", "track", "wbr"}
 _INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label",
            "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
@@ -48,11 +50,13 @@ _SPACE = re.compile(r"\s+")
 
 
 def _is_furniture(name: str, attributes: str, inside_main: bool) -> bool:
-    if name in _FURNITURE or name == "header" and not inside_main:
+    if name in _FURNITURE and not (inside_main and name in _TEXT_INSIDE) or name == "header" and not inside_main:
         return True
-    if not attributes:
-        return False
-    return bool(_HIDDEN.search(attributes)) or name not in ("html", "body", *_MAIN) and any(_NAMES.search(next(filter(None, m.groups()), "")) for m in _MARKED.finditer(attributes))
+    return bool(_HIDDEN.search(attributes)) or not inside_main and _is_named(name, attributes)
+
+
+def _is_named(name: str, attributes: str) -> bool:
+    return name not in ("html", "body", *_MAIN) and any(_NAMES.search(next(filter(None, m.groups()), "")) for m in _MARKED.finditer(attributes))
 
 
 def _left_open(page: str, at: int, name: str, depth: int) -> bool:
@@ -66,7 +70,7 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray]:
     lines: list[str] = []
     weights: list[int] = []
     current: list[str] = []
-    stack: list[tuple[str, bool, bool, int]] = []  # name, furniture, main, furniture around an article that is taken none the less
+    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, furniture, main, furniture around an article that is taken none the less, a gap and no weight
     dropped = mains = weak = 0
 
     def end_line() -> None:
@@ -83,12 +87,12 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray]:
 
     def pop() -> None:
         nonlocal dropped, mains, weak
-        _, furniture, main, around = stack.pop()
-        if furniture or main:
+        _, furniture, main, around, light = stack.pop()
+        if furniture or main or light:
             gap()
         dropped += around - furniture
         mains -= main
-        weak -= around > 0
+        weak -= light
 
     at = 0
     while at < len(page):
@@ -115,7 +119,7 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray]:
                 if (stack[k][1] or stack[k][2]) and name in ("p", "li", "span", "b", "i", "a", "em", "strong"):
                     break
             continue
-        if name in _RAW_END:
+        if name in _RAW_END and not (mains and not dropped and name in _TEXT_INSIDE):
             end = _RAW_END[name].search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -132,14 +136,16 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray]:
             o[0] == "form" or _left_open(page, at, o[0], sum(p[0] == o[0] for p in stack)) for o in stack if o[1]
         ) else 0
         dropped -= around
-        weak += around > 0
+        # inside an article a container's name is weak evidence: its lines stand alone and without weight
+        light = around > 0 or mains > 0 and not dropped and not furniture and name in _CONTAINERS and _is_named(name, attributes)
         main = name in _MAIN and not dropped
-        if furniture or main:
+        if furniture or main or light:
             if not dropped:
                 gap()
+            weak += light
             dropped += furniture
             mains += main
-        stack.append((name, furniture, main, around))
+        stack.append((name, furniture, main, around, light))
     if not dropped:
         end_line()
     return lines, np.array(weights, np.int64)

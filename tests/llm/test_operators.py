@@ -295,6 +295,13 @@ def test_html_text_where_the_article_tag_misleads():
     assert html_text.main_text(f"<body><p>{long}</p><aside><article><p>{long}</p></article></aside></body>") == long.strip()
 
 
+def test_html_text_keeps_all_text_of_an_article():
+    long = ("long text of the page " * 20).strip()
+    page = (f"<body><figure><figcaption>outside</figcaption></figure><article><h2 id='search'>Head</h2><figure><img src=x><figcaption>Caption</figcaption></figure>"
+            f"<p>{long}</p><math><mi>x</mi></math><section id='social'><p>{long}</p></section><div class='share'>Share</div><p>End</p><script>no</script></article></body>")
+    assert html_text.main_text(page) == f"Head\nCaption\n{long}\nx\n{long}\nEnd"
+
+
 def test_repetition_rules_on_odd_texts(docs):
     got = {r["doc_id"]: r for r in quality_rules.repetition_rules(docs).collect()}
     assert (got[0]["n_words"], got[0]["kept"], got[2]["word_chars"]) == (0, False, 0)
