@@ -53,7 +53,7 @@ PATTERN_RULES = (
         ("crypto", "doubler"), ("warez",), ("torrents",), ("doorway", "pages"), ("click", "bait"), ("phishing",), ("malware",), ("adserver",),
         ("doubleclick",), ("escort", "girls"), ("poker", "bonus"),
     )),
-    PatternRule("wp-login", r"://[^/?#]*/([^?#]*/)?wp-login\.php", ("wp", "login", "php")),
+    PatternRule("wp-login", r"://[^/?#]*/([^?#]*/)?wp-login\.php", ("wp", "login")),  # the pattern may go on after php
     PatternRule("cgi-ads", r"://[^/?#]*/([^?#]*/)?(cgi-bin)/ads?[/?]", ("cgi", "bin")),
     PatternRule("banner-ads", r"://[^/?#]*/([^?#]*/)?banner/ads(/|$|[?#])", ("banner", "ads")),
     PatternRule("affiliate", r"[?&]affiliate=[^&#]+", ("affiliate",)),

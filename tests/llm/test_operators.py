@@ -270,6 +270,19 @@ def test_url_rules_on_odd_urls(spark):
     assert list(index) == ["pills"]
 
 
+def test_url_literals_are_whole_tokens_of_all_that_fits(spark):
+    """Each rule finds its URLs, with the pattern's borders moved, whatever the other rows hold and so whichever literal is rarest."""
+    fitting = {r.name: [f"http://{'-'.join(r.literals)}.io/", f"http://a-{'.'.join(r.literals)}-b.io:1"] for r in url_rules.PATTERN_RULES if r.pattern.startswith("^")}
+    fitting |= {"wp-login": ["http://a.b/wp-login.php", "http://a.b/c/wp-login.php5", "http://a.b/wp-login.phpx"], "cgi-ads": ["http://a.b/cgi-bin/ad?", "http://a.b/c/cgi-bin/ads/x"],
+                "banner-ads": ["http://a.b/banner/ads", "http://a.b/c/banner/ads?x"], "affiliate": ["http://a.b/?affiliate=1", "http://a.b/?x&affiliate=1x"]}
+    for r in url_rules.PATTERN_RULES:
+        for u in fitting[r.name]:
+            assert re.search(r.pattern, u) and set(r.literals) <= set(re.findall("[a-z0-9]+", u)), (r.name, u)
+    urls = ["http://a.b/wp-login.php5"] + ["http://wp.b/login"] * 3
+    got = url_rules.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).filter("page_id = 0").first()
+    assert (got["verdict"], got["pattern_rule"]) == ("block", "wp-login")
+
+
 def test_html_text(spark):
     page = ("<html><head><title>t</title><style>p{}</style></head><body><nav><a>Menu</a></nav><div class='ad'>Buy this now</div><article><h1>Head&amp;line</h1>"
             "<p>One  <b>two</b>\n three<script>var t='</p>';</script></p><!-- <p>no</p> --><p>Kurz.<p>&lt;x&gt; &#233;</article><div id=comments><p>I say</div><footer>&copy; x</footer>")
