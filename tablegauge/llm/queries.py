@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablegauge.llm import bpe, embedding_dedup, html_text, jaccard_join, mixing, quality_net, quality_rules, secrets, token_files, url_rules
+from tablegauge.llm import (
+    bpe,
+    embedding_dedup,
+    fill_middle,
+    html_text,
+    jaccard_join,
+    licences,
+    mixing,
+    quality_net,
+    quality_rules,
+    secrets,
+    token_align,
+    token_files,
+    url_rules,
+)
 from tablegauge.session import ship_package
 
 
@@ -75,6 +89,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.token_links(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_labels(licences.find_licences(table(spark, sf_dir, "documents")))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = fill_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    digests = {"output_sha256": F.col("output"), "restored_sha256": fill_middle.restore(F.col("form"), F.col("output"))}
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *(F.sha2(v, 256).alias(k) for k, v in digests.items()))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +112,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_embedding_dedup, op2_token_files, op3_quality_net, op4_url_rules, op5_html_text, op6_bpe, op7_mixing, op8_secrets, op9_jaccard_join,
-              op10_quality_rules, pipeline)
+              op10_quality_rules, op11_token_align, op12_licences, op13_fill_middle, pipeline)
 }
 
-ORACLES: dict[str, str] = {"op4_url_rules": url_rules.oracle(), "op7_mixing": mixing.oracle(), "op10_quality_rules": quality_rules.oracle()}
+ORACLES: dict[str, str] = {"op4_url_rules": url_rules.oracle(), "op7_mixing": mixing.oracle(), "op10_quality_rules": quality_rules.oracle(),
+                           "op13_fill_middle": fill_middle.oracle()}
