@@ -15,7 +15,7 @@ from tablegauge.operators.histogram import histogram
 from tablegauge.operators.profile import merge_sketches, partition_stats, sketch_partitions, stat_header, usage_rollup, write_partition_stats
 from tablegauge.operators.querylog import counter_delta, log_top
 from tablegauge.operators.report import Metric, check_label, natural_order, priority_counts, run_all, summary
-from tablegauge.operators.texts import keyword_hits, keyword_two_hops
+from tablegauge.operators.texts import _with_keywords, filed, keyword_hits, keyword_two_hops
 from tablegauge.sources.definitions import Reference, TableDef
 from tablegauge.sources.store import append_results, cleanup, export_plans, load, save, write_results
 from tablegauge.sources.tables import collect_all, read_events
@@ -129,6 +129,32 @@ def test_keywords_of_texts_with_one_id(spark):
     assert sorted((r.id or 0, r.keyword) for r in keyword_hits(df, "id", "text", kw).collect()) == [(0, "alpha"), (1, "alpha"), (1, "beta"), (1, "beta"), (1, "beta")]
 
 
+@pytest.mark.parametrize("most", [3, 20_000])
+def test_keywords_of_any_letters_in_any_number_of_passes(spark, most):
+    rnd = random.Random(7)
+    letters = "ab.*[(\\^$ \n-]é漢😀"
+    words = ["".join(rnd.choice(letters) for _ in range(rnd.randint(1, 6))) for _ in range(60)] + ["#", "\\E", "a-b", "x" * 50]
+    texts = [(i, "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 40))) + rnd.choice(words)) for i in range(40)]
+    df = spark.createDataFrame(texts, "id long, body string")
+    kw = spark.createDataFrame([(w,) for w in words * 2], "keyword string")
+    want = {(i, w) for i, t in texts for w in words if w in t}
+    assert sorted((r.id, r.keyword) for r in _with_keywords(df, kw, most).collect()) == sorted(want)
+
+
+def test_keywords_are_filed_under_rare_letters():
+    index = filed(["statistics", "statement", "state", "ab"])
+    assert sorted(k for own in index.values() for k in own) == ["ab", "state", "statement", "statistics"]
+    assert all(g in k for g, own in index.items() for k in own) and index["ab"] == ["ab"]
+    assert "sta" not in index or index["sta"] == ["state"]
+
+
+def test_long_text_costs_in_proportion(spark):
+    """A text of 4 million letters; the groups of letters that no keyword has are never built."""
+    df = spark.createDataFrame([(1, "noise word " * 400_000 + "needle")], "id long, text string")
+    kw = spark.createDataFrame([("needle",), ("absent",)], "keyword string")
+    assert [tuple(r) for r in keyword_hits(df, "id", "text", kw).collect()] == [(1, "needle")]
+
+
 def test_plan_documents_beyond_plain_names(spark):
     doc = """<P><StmtSimple StatementType="SELECT"><QueryPlan CachedPlanSize="2e+03"><MemoryGrantInfo SerialDesiredMemory="1024" SerialRequiredMemory="512"/>
       <OptimizerStatsUsage><StatisticsInfo Database="d" Table="O'Brien" Statistics="a>b" ModificationCount="6e+02"/><StatisticsInfo Statistics='x Table="y"' Table="t&#65;" ModificationCount="5e+02"/></OptimizerStatsUsage>
