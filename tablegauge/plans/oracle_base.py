@@ -72,7 +72,7 @@ def _defs() -> str:
             "number_of_columns_in_this_table, n_columns, readable, n_cutoffs))")
 
 
-def _seen(t, h: int) -> str:
+def seen(t, h: int) -> str:
     if h > len(t.cutoffs):
         return "FALSE"
     return "TRUE" if t.ts_column is None else f"{t.ts_column} <= TIMESTAMP '{t.cutoffs[h - 1]}'"
@@ -96,8 +96,8 @@ def _vc() -> str:
                 for k, ty in [("l", "BIGINT"), ("f", "DOUBLE"), ("s", "VARCHAR"), ("t", "TIMESTAMP")])
             tup = "CAST(NULL AS VARCHAR[])" if n == 1 else "[" + ", ".join(f"CAST({c} AS VARCHAR)" for c in prefix) + "]"
             size = " + ".join(SIZE.get(COLUMN_TYPES[c], f"strlen({c})") for c in prefix)
-            counts = ", ".join(f"count(*) FILTER (WHERE ({_seen(t, h)}) AND {smp}) AS s{h}" for h in (1, 2, 3, 4))
-            counts += ", " + ", ".join(f"count(*) FILTER (WHERE {_now(t) if h == 0 else _seen(t, h)}) AS f{h}" for h in range(5))
+            counts = ", ".join(f"count(*) FILTER (WHERE ({seen(t, h)}) AND {smp}) AS s{h}" for h in (1, 2, 3, 4))
+            counts += ", " + ", ".join(f"count(*) FILTER (WHERE {_now(t) if h == 0 else seen(t, h)}) AS f{h}" for h in range(5))
             parts.append(f"SELECT {s.rowid} AS rowid, {n} AS n, {slots}, {tup} AS tup, max({size}) AS kb, {counts} "
                          f"FROM {s.table} WHERE {s.filter or 'TRUE'} GROUP BY ALL")
     return "vc AS (" + "\nUNION ALL ".join(parts) + ")"
@@ -111,7 +111,7 @@ def _profile() -> str:
         lob = "0" + "".join(f" + CASE WHEN strlen({c}) > 8000 THEN strlen({c}) ELSE 0 END" for c in texts)
         parts.append(
             f"SELECT '{t.name}' AS table_name, count(*) FILTER (WHERE {_now(t)}) AS current_rows, "
-            + ", ".join(f"count(*) FILTER (WHERE {_seen(t, h)}) AS rows{h}" for h in (1, 2, 3, 4))
+            + ", ".join(f"count(*) FILTER (WHERE {seen(t, h)}) AS rows{h}" for h in (1, 2, 3, 4))
             + f", CAST(sum({row}) FILTER (WHERE {_now(t)}) AS BIGINT) AS in_row_bytes, CAST(sum({lob}) FILTER (WHERE {_now(t)}) AS BIGINT) AS lob_bytes FROM {t.name}")
     return "profile AS (" + "\nUNION ALL ".join(parts) + ")"
 

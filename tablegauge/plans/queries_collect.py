@@ -12,10 +12,12 @@ from ..operators.histogram import histogram
 from ..operators.profile import sampled
 from ..sources.definitions import stat_columns
 from ..sources.tables import collect_all, count_events, read_events, read_named
-from .fixture import ACCESS_KINDS, access_log, collected, names_of_stats
-from .oracle_base import q, ratio, with_collected
+from .fixture import ACCESS_KINDS, STAT_DEFS, TABLE_DEFS, access_log, collected, names_of_stats
+from .oracle_base import q, ratio, seen, with_collected
 
 STALE = "2000-01-01"
+#: Statistics whose accuracy is checked, the most used of all.
+MOST_USED = 12
 
 
 def src_union_counts(spark, sf):
@@ -138,13 +140,12 @@ def acc_top10(spark, sf):
 
 def acc_topn(spark, sf):
     c = collected(spark, sf)
-    stat = c["stat"].filter("rowid IN (2, 3, 4, 9)")
-    tables = {n: read_named(spark, sf, n) for n in ("orders", "lineitem")}
+    tables = {t.name: read_named(spark, sf, t.name) for t in TABLE_DEFS}
 
     def hist_of(rowid, df, key):
         return c["histogram"].filter(F.col("rowid") == rowid).withColumn("range_hi_key", native_key(F.col("hi"), df.schema[key].dataType))
 
-    return acc.accuracy_top(tables, stat, hist_of, 3).select(
+    return acc.accuracy_top(tables, c["stat"], hist_of, MOST_USED).select(
         "rowid", "table_name", "key_column_name", "stepnumber", "range_hi_key", "eq_rows", "actual_eq_rows", "range_rows",
         "actual_range_rows", "distinct_range_rows", "actual_distinct_range_rows", "value_with_biggest_diff", "actual_rows_for_value")
 
@@ -222,14 +223,17 @@ def _hist_select(table: str, key: str) -> str:
 
 
 def _topn() -> str:
-    keys = [(2, "orders", "o_custkey", "o_orderdate"), (3, "orders", "o_custkey", "o_orderdate"), (4, "orders", "o_orderdate", "o_orderdate"), (9, "lineitem", "l_shipdate", "l_shipdate")]
+    tables = {t.name: t for t in TABLE_DEFS}
     ctes, parts = [], []
-    for r, t, k, ts in keys:
-        ctes += [hist_cte(f"k{r}", t, k, f"{ts} <= TIMESTAMP '2001-01-01'"), acc_ctes(f"k{r}", t, k)]
-        txt = (lambda c: f"strftime({c}, '%Y-%m-%d %H:%M:%S')") if k.endswith("date") else (lambda c: f"CAST({c} AS VARCHAR)")
-        parts.append(f"""SELECT {r}::BIGINT AS rowid, '{t}' AS table_name, '{k}' AS key_column_name, stepnumber, {txt('range_hi_key')} AS range_hi_key, eq_rows, actual_eq_rows, range_rows,
-          actual_range_rows, distinct_range_rows, actual_distinct_range_rows, {txt('value_with_biggest_diff')} AS value_with_biggest_diff, actual_rows_for_value FROM k{r}_rep""")
-    pick = "(SELECT rowid FROM stat WHERE rowid IN (2, 3, 4, 9) ORDER BY user_seeks + user_lookups DESC, current_number_of_rows DESC, rowid LIMIT 3)"
+    for d in STAT_DEFS:
+        if not d.with_histogram:
+            continue
+        k, n, sample = d.columns[0], f"k{d.rowid}", f"{d.sample_on} % 100 < {d.sample_pct}" if d.sample_pct else "TRUE"
+        ctes += [hist_cte(n, d.table, k, f"({seen(tables[d.table], 1)}) AND ({d.filter or 'TRUE'}) AND {sample}"), acc_ctes(n, d.table, k)]
+        hi, value = "CAST(range_hi_key AS VARCHAR)", "CAST(value_with_biggest_diff AS VARCHAR)"
+        parts.append(f"""SELECT {d.rowid}::BIGINT AS rowid, '{d.table}' AS table_name, '{k}' AS key_column_name, stepnumber, {hi} AS range_hi_key, eq_rows, actual_eq_rows, range_rows,
+          actual_range_rows, distinct_range_rows, actual_distinct_range_rows, {value} AS value_with_biggest_diff, actual_rows_for_value FROM {n}_rep""")
+    pick = f"(SELECT rowid FROM stat ORDER BY coalesce(user_seeks, 0) + coalesce(user_lookups, 0) DESC, current_number_of_rows DESC, rowid LIMIT {MOST_USED})"
     return with_collected(f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE rowid IN {pick}", *ctes)
 
 
