@@ -26,7 +26,7 @@ from tablegauge.llm.words import blocks
 #: Stands for the end of a word inside this module.
 _END = "\uffff"
 #: Words and pairs of tokens that a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 20_000
 _NEVER = 1 << 60
 
 

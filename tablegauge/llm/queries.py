@@ -25,8 +25,9 @@ from tablegauge.llm import (
 from tablegauge.session import ship_package
 
 
-#: Rows in an Arrow batch: some 7 MB of common texts.
+#: Rows and bytes of an Arrow batch, whichever comes first. A longer text is a batch of its own.
 BATCH_ROWS = 2000
+BATCH_BYTES = 4 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -39,6 +40,7 @@ def prepare(spark: SparkSession) -> None:
     """Ships this package, and lets Python workers and the JVM hold fewer whole texts at once."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

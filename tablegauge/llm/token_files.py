@@ -68,6 +68,18 @@ class EliasFano:
             low |= (int(self.low[bit // 8]) >> (bit % 8) & 1) << k
         return value << self.low_bits | low
 
+    def run(self, k: int) -> np.ndarray:
+        """The values from the k-th sample up to the next one: ``select`` for all of them, from one sampled position."""
+        first, last = k * _EVERY, min((k + 1) * _EVERY, self.n)
+        start = int(self.samples[k])
+        end = int(self.samples[k + 1]) if k + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[start // 8:-(-end // 8)], bitorder="little")
+        ones = np.flatnonzero(bits[start % 8:])[:last - first] + start
+        places = np.arange(first, last)
+        at = places[:, None] * self.low_bits + np.arange(self.low_bits)
+        low = (self.low[at >> 3] >> (at & 7) & 1).astype(np.int64)
+        return (ones - places) << self.low_bits | (low << np.arange(self.low_bits)).sum(axis=1)
+
     def values(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
         high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
@@ -109,9 +121,18 @@ class TokenFile:
     def ids(self, k: int) -> np.ndarray:
         return self.all_ids[self.bounds.select(k):self.bounds.select(k + 1)]
 
-    def doc_ids(self) -> list[int | None]:
-        known = self.names.values().astype(np.int64) + self.least if self.names.n else np.zeros(0, np.int64)
-        return [None] * self.nulls + known.tolist()
+    def parts(self) -> Iterator[tuple[list[int | None], np.ndarray]]:
+        """Document ids and boundaries (one more) of so many documents as one sample stands for; no more of them are decoded at once."""
+        ids, known = [None] * self.nulls, 0
+        for k in range(len(self.bounds.samples)):
+            bounds = self.bounds.run(k)
+            if (k + 1) * _EVERY < self.bounds.n:
+                bounds = np.append(bounds, self.bounds.select((k + 1) * _EVERY))
+            while len(ids) < len(bounds) - 1:
+                ids += (self.names.run(known) + self.least).tolist()
+                known += 1
+            yield ids[:len(bounds) - 1], bounds
+            ids = ids[len(bounds) - 1:]
 
     @staticmethod
     def dump(doc_ids: list[int | None], ids: list[bytes], width: int) -> bytes:
@@ -176,10 +197,16 @@ class Encoder:
                 yield self.whole(data[offsets[k]:offsets[k + 1]].tobytes().decode()) if k in odd else ids[bounds[k]:bounds[k + 1]]
 
 
+#: What a worker keeps from task to task, by the file of the vocabulary.
+_KEPT: dict[str, Encoder] = {}
+
+
 def _writer(vocabulary: str, end_id: int, folder: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = fs.FileSystem.from_uri(folder)
-        encoder = Encoder(vocabulary)
+        if vocabulary not in _KEPT:
+            _KEPT[vocabulary] = Encoder(vocabulary)
+        encoder = _KEPT[vocabulary]
         width = np.dtype(encoder.kind).itemsize
         end = end_id.to_bytes(width, "little")
         task, number = TaskContext.get().partitionId(), 0
@@ -216,12 +243,10 @@ def _reader(folder: str) -> Callable:
             for name, base in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist()):
                 with store.open_input_stream(f"{top}/{name}") as source:
                     file = TokenFile(source.read())
-                bounds = file.bounds.values().astype(np.int64)
-                sums = [zlib.crc32(file.all_ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(file.doc_ids(), pa.int64()), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                for doc_ids, bounds in file.parts():
+                    sums = [zlib.crc32(file.all_ids[a:b].astype("<u4").tobytes()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())],
+                                                     names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return run
 
@@ -252,7 +277,9 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
 
 def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     """Per document of the files: doc_id, ``start`` (ids before it), ``n_tokens`` and the crc32 of its ids as 32-bit integers."""
-    return files.select("file", "base").repartition("file").mapInArrow(_reader(_uri(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number of tasks that adaptive execution does not lower: files are few rows of some 16 MB each
+    dealt = files.select("file", "base").repartition(max(1, files.count()))
+    return dealt.mapInArrow(_reader(_uri(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:

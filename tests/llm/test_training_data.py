@@ -187,10 +187,22 @@ def test_token_files_round_trip(spark, docs):
 def test_elias_fano(values):
     coded, _ = token_files.EliasFano.load(memoryview(token_files.EliasFano.of(np.array(values, np.int64)).dump()), 0)
     assert coded.values().tolist() == values and [coded.select(k) for k in range(len(values))] == values
+    assert [v for k in range(len(coded.samples)) for v in coded.run(k).tolist()] == values
     with pytest.raises(IndexError):
         coded.select(len(values))
 
 
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 511, 512, 1000])
+def test_file_parts_give_every_document(n):
+    rng = random.Random(n)
+    names = [None, None] + sorted(rng.randint(-50, 10_000) for _ in range(n - 2)) if n > 2 else [7] * n
+    ids = [np.array([rng.randint(0, 60_000) for _ in range(rng.randint(0, 4))] + [2], "<u2") for _ in range(n)]
+    file = token_files.TokenFile(token_files.TokenFile.dump(names, [i.tobytes() for i in ids], 2))
+    got = [(d, file.all_ids[a:b].tolist()) for own, bounds in file.parts() for d, a, b in zip(own, bounds[:-1], bounds[1:])]
+    assert got == [(d, i.tolist()) for d, i in zip(names, ids)] and len(file) == n
+    assert all(file.ids(k).tolist() == ids[k].tolist() for k in range(n))
+
+
 def test_bpe_equals_the_library(spark, docs):
     from tokenizers import Tokenizer
 
