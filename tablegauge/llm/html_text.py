@@ -8,9 +8,12 @@ threshold are the main text. An article's border is a gap, and its lines weigh m
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,13 @@ _NAMES = re.compile(
     re.IGNORECASE,
 )
 
+#: Words in class, id or role that name what is not the article's even inside it: comments, adverts, notices, menus and the like.
+_FOREIGN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert|advertisement|advertising|banner|breadcrumbs?|comments?|comment-?list|cookies?|consent|disqus|footer|menu|modal|nav|navbar|"
+    r"navigation|newsletter|notice|pagination|popup|promo|promoted|replies|reply|sidebar|sponsor|sponsored|subscribe|toolbar)(?:$|[\s_-])",
+    re.IGNORECASE,
+)
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)(?:>|\Z)""", re.DOTALL)
 _MARKED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.IGNORECASE)
@@ -55,23 +65,74 @@ def _is_furniture(name: str, attributes: str, inside_main: bool) -> bool:
     return bool(_HIDDEN.search(attributes)) or not inside_main and _is_named(name, attributes)
 
 
-def _is_named(name: str, attributes: str) -> bool:
-    return name not in ("html", "body", *_MAIN) and any(_NAMES.search(next(filter(None, m.groups()), "")) for m in _MARKED.finditer(attributes))
+def _is_named(name: str, attributes: str, names: re.Pattern = _NAMES) -> bool:
+    return name not in ("html", "body", *_MAIN) and any(names.search(next(filter(None, m.groups()), "")) for m in _MARKED.finditer(attributes))
+
+
+class _Due:
+    """How many more ends than starts of an element follow in a page; each name's tags are found once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.known: dict[str, tuple[list[int], list[int]]] = {}
+
+    def after(self, at: int, name: str) -> int:
+        if name not in self.known:
+            tags = [(m.start(), 1 if m[1] else -1) for m in re.finditer(rf"<(/?){name}(?=[\s/>])", self.page, re.IGNORECASE)]
+            self.known[name] = [p for p, _ in tags], [*reversed(list(accumulate(s for _, s in reversed(tags)))), 0]
+        places, ends = self.known[name]
+        return ends[bisect.bisect_left(places, at)]
 
 
-def _left_open(page: str, at: int, name: str, depth: int) -> bool:
-    """Fewer ends of ``name`` follow than are due: one of the ``depth`` open ones was never closed."""
-    tags = re.findall(rf"<(/?){name}(?=[\s/>])", page[at:], re.IGNORECASE)
-    return 2 * tags.count("/") - len(tags) < depth
+class _Open:
+    """The open elements of a page: found by name, and the nearest furniture or article, without looking through all of them."""
+
+    def __init__(self):
+        self.stack: list[tuple] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.borders: list[int] = []
+        self.furniture: Counter[str] = Counter()
+
+    def push(self, name: str, furniture: bool, main: bool, *more) -> None:
+        self.places[name].append(len(self.stack))
+        if furniture or main:
+            self.borders.append(len(self.stack))
+        if furniture:
+            self.furniture[name] += 1
+        self.stack.append((name, furniture, main, *more))
+
+    def pop(self) -> tuple:
+        top = self.stack.pop()
+        self.places[top[0]].pop()
+        if top[1] or top[2]:
+            self.borders.pop()
+        if top[1]:
+            self.furniture[top[0]] -= 1
+        return top
+
+    def closed_by(self, name: str) -> int:
+        """How many elements the end of ``name`` closes: up to the nearest of that name, but small ones reach over no article or furniture."""
+        if not self.places[name]:
+            return 0
+        at = self.places[name][-1]
+        if name in ("p", "li", "span", "b", "i", "a", "em", "strong") and self.borders and self.borders[-1] > at:
+            return 0
+        return len(self.stack) - at
 
 
 def lines_of(page: str) -> tuple[list[str], np.ndarray]:
-    """The lines of a page, empty ones where furniture or containers lie, and what a character of each weighs."""
+    """The lines of a page, empty ones where furniture or containers lie, and what a character of each weighs.
+
+    A block inside an article that is named as foreign, such as comments, adverts or notices, is furniture unless it is the article's
+    main stretch: without such blocks the article does not reach the threshold.
+    """
     lines: list[str] = []
     weights: list[int] = []
+    owners: list[tuple[int, int]] = []  # article, or 0, and foreign block in it, or 0
     current: list[str] = []
-    stack: list[tuple[str, bool, bool, int, bool]] = []  # name, furniture, main, furniture around an article that is taken none the less, a gap and no weight
+    opened, due = _Open(), _Due(page)
     dropped = mains = weak = 0
+    article = foreign = n_articles = n_foreign = 0
 
     def end_line() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(current))).strip()
@@ -79,20 +140,25 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray]:
         if text:
             lines.append(text)
             weights.append(WEIGHT if mains and not weak else 1)
+            owners.append((article, foreign))
 
     def gap() -> None:
         end_line()
         lines.extend([""] * WINDOW)
         weights.extend([1] * WINDOW)
+        owners.extend([(0, 0)] * WINDOW)
 
     def pop() -> None:
-        nonlocal dropped, mains, weak
-        _, furniture, main, around, light = stack.pop()
+        nonlocal dropped, mains, weak, article, foreign
+        # furniture around an article that is taken none the less; a gap and no weight; the first border of a foreign block
+        _, furniture, main, around, light, strange = opened.pop()
         if furniture or main or light:
             gap()
         dropped += around - furniture
         mains -= main
         weak -= light
+        foreign = 0 if strange else foreign
+        article = article if mains else 0
 
     at = 0
     while at < len(page):
@@ -110,14 +176,8 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray]:
         if name not in _INLINE and not dropped:
             end_line()
         if closing:
-            # the nearest open element of that name, but none beyond an article or furniture that is still open
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if (stack[k][1] or stack[k][2]) and name in ("p", "li", "span", "b", "i", "a", "em", "strong"):
-                    break
+            for _ in range(opened.closed_by(name)):
+                pop()
             continue
         if name in _RAW_END and not (mains and not dropped and name in _TEXT_INSIDE):
             end = _RAW_END[name].search(page, at)
@@ -125,29 +185,41 @@ def lines_of(page: str) -> tuple[list[str], np.ndarray]:
             continue
         if name in _VOID or attributes.endswith("/") and name in _INLINE:
             continue
-        if name not in _INLINE and stack and stack[-1][0] in _CLOSED_BY_BLOCK:
+        if name not in _INLINE and opened.stack and opened.stack[-1][0] in _CLOSED_BY_BLOCK:
             pop()
         if name == "body":
-            while stack and stack[-1][0] in ("head", "title"):
+            while opened.stack and opened.stack[-1][0] in ("head", "title"):
                 pop()
         furniture = _is_furniture(name, attributes, mains > 0)
         # a form may be around the whole page, and a menu may lack its end: the sums decide on an article in them, without its weight
         around = dropped if name in _MAIN and all(
-            o[0] == "form" or _left_open(page, at, o[0], sum(p[0] == o[0] for p in stack)) for o in stack if o[1]
+            o == "form" or due.after(at, o) < len(opened.places[o]) for o, n in opened.furniture.items() if n
         ) else 0
         dropped -= around
         # inside an article a container's name is weak evidence: its lines stand alone and without weight
         light = around > 0 or mains > 0 and not dropped and not furniture and name in _CONTAINERS and _is_named(name, attributes)
         main = name in _MAIN and not dropped
+        strange = bool(light and mains and not foreign and _is_named(name, attributes, _FOREIGN))
         if furniture or main or light:
             if not dropped:
                 gap()
             weak += light
             dropped += furniture
+            if main and not mains:
+                n_articles += 1
+                article = n_articles
             mains += main
-        stack.append((name, furniture, main, around, light))
+            if strange:
+                n_foreign += 1
+                foreign = n_foreign
+        opened.push(name, furniture, main, around, light, strange)
     if not dropped:
         end_line()
+    if n_foreign:
+        own = Counter()
+        for text, (a, f) in zip(lines, owners):
+            own[a] += len(text) * (not f)
+        lines = ["" if f and own[a] >= THRESHOLD else text for text, (a, f) in zip(lines, owners)]
     return lines, np.array(weights, np.int64)
 
 

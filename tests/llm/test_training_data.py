@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -320,6 +321,33 @@ def test_html_text_where_the_article_tag_misleads():
     assert html_text.main_text(f"<body><p>{long}</p><aside><article><p>{long}</p></article></aside></body>") == long.strip()
 
 
+@pytest.mark.parametrize("block", [
+    '<section class="comments"><p>{}</p></section>', '<ol id="comments"><li>{}</li></ol>', '<div class="advert"><p>{}</p></div>', '<div class="cookie-notice">{}</div>',
+    '<div class="sidebar"><section><p>{}</p></section></div>'])
+def test_html_text_drops_foreign_blocks_of_an_article(block):
+    """Comments, adverts and notices go, however long; they stay where an article is hardly anything else."""
+    own, other = "These are the words of the article itself, and there are enough of them to be one. " * 2, "What a reader says. " * 40
+    assert html_text.main_text(f"<body><article><p>{own}</p>{block.format(other)}<p>End</p></article></body>") == f"{own.strip()}\nEnd"
+    assert html_text.main_text(f"<body><article><p>Teaser</p>{block.format(other)}</article></body>") == f"Teaser\n{other.strip()}"
+
+
+@pytest.mark.parametrize("page", [
+    "<div>{0}</x>{1}", "<p><article><div>{0}</p>{1}", "<form><article>x</article>{0}{1}", "<nav>{0}<article>x</article>{1}", "<article><div class=ad>x</div>{0}{1}"])
+def test_html_text_costs_in_proportion(page):
+    """Broken markup costs no more than its length: forty thousand tags that match nothing, or are left open, in a few seconds."""
+    first, second = page.split("{0}")
+    broken = first * 40_000 + second.replace("{1}", "") * 40_000
+    start = time.process_time()
+    html_text.main_text(broken + "text " * 100)
+    assert time.process_time() - start < 20
+
+
+def test_html_text_of_five_megabytes():
+    block = "A paragraph of an article that goes on. "
+    text = html_text.main_text("<body><nav>menu</nav><article>" + f"<p>{block * 25}</p>" * 5000 + "</article></body>")
+    assert text == "\n".join([(block * 25).strip()] * 5000)
+
+
 def test_html_text_keeps_all_text_of_an_article():
     long = ("long text of the page " * 20).strip()
     page = (f"<body><figure><figcaption>outside</figcaption></figure><article><h2 id='search'>Head</h2><figure><img src=x><figcaption>Caption</figcaption></figure>"
