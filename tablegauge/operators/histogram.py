@@ -100,8 +100,12 @@ def value_counts(df: DataFrame, key: str) -> DataFrame:
 
 def histogram(df: DataFrame, key: str, max_steps: int = MAX_STEPS) -> DataFrame:
     """Step histogram of one column, with ``range_hi_key`` in the type of the column."""
-    dtype = df.schema[key].dataType
-    vc = value_counts(df, key)
+    return histogram_of_counts(value_counts(df, key), max_steps)
+
+
+def histogram_of_counts(vc: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """Step histogram of values (``key``) that come with their rows (``cnt``)."""
+    dtype = vc.schema["key"].dataType
     counts = written_counts(
         vc.selectExpr("0 AS rowid", f"{key_sql('key', dtype)} AS hi", "cnt AS s1"),
         ["hi"],

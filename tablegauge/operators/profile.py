@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.clock import seconds_text
 from ..functions.numbers import auto_threshold, ratio, threshold_type, value_bytes
 from ..sources.definitions import in_sample
+from .histogram import MAX_STEPS, histogram_of_counts
 
 
 def sampled(df: DataFrame, on: str, pct: int) -> DataFrame:
@@ -36,6 +37,44 @@ def stat_header(df: DataFrame, columns: Sequence[str], where: str | None = None,
     )
 
 
+def distinct_from_sample(sample: DataFrame, key: str, rows: int | Column) -> DataFrame:
+    """Distinct values of a whole table from a sample of its rows, with the bounds between which they lie.
+
+    A value that the sample has once stands for one to rows / sample rows values, one that it has more often for itself; the estimate takes
+    the geometric mean for the former, whose error is within the root of that ratio (the guaranteed-error estimator).
+    """
+    seen = sample.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("times"))
+    one = seen.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("rows_sampled"), F.count(F.lit(1)).alias("distinct_in_sample"), F.count_if(F.col("times") == 1).alias("seen_once"))
+    total = rows if isinstance(rows, Column) else F.lit(rows).cast("long")
+    once, scale = F.col("seen_once"), F.try_divide(total, F.col("rows_sampled"))
+    often = F.col("distinct_in_sample") - once
+    return one.select(
+        "rows_sampled", "distinct_in_sample", "seen_once", F.round(F.coalesce(F.sqrt(scale) * once + often, F.lit(0.0)), 4).alias("estimate"),
+        F.col("distinct_in_sample").alias("at_least"), F.least(F.ceil(F.coalesce(scale * once + often, F.lit(0.0))), total).alias("at_most"))
+
+
+def snapshot_changes(before: DataFrame, after: DataFrame, key: Sequence[str], by: str | None = None) -> DataFrame:
+    """Rows inserted, deleted and updated between two snapshots: a row is known by its key and compared by a hash of its other columns.
+
+    Keys may repeat: rows of one key that are in both snapshots with equal columns are unchanged, of the others as many as both have count as updated.
+    With ``by``, a column of the key, there is a row for each of its values. Both sides meet in one aggregation, without a join.
+    """
+    rest = [c for c in before.columns if c not in key]
+    if set(before.columns) != set(after.columns):
+        raise ValueError("snapshots differ in their columns")
+
+    def side(df: DataFrame, old: int) -> DataFrame:
+        return df.select(*key, F.xxhash64(*rest).alias("row_hash"), F.lit(old).alias("is_old"))
+
+    both = side(before, 1).unionByName(side(after, 0)).groupBy(*key, "row_hash").agg(F.sum("is_old").alias("old"), F.sum(1 - F.col("is_old")).alias("new"))
+    gone, come = F.greatest(F.col("old") - F.col("new"), F.lit(0).cast("long")), F.greatest(F.col("new") - F.col("old"), F.lit(0).cast("long"))
+    per_key = both.groupBy(*key).agg(F.sum(gone).alias("gone"), F.sum(come).alias("come"), F.sum(F.least("old", "new")).alias("unchanged"))
+    updated = F.least("gone", "come")
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0).cast("long")).alias(name)
+    return (per_key.groupBy(by) if by else per_key.groupBy()).agg(
+        total(F.col("come") - updated, "inserts"), total(F.col("gone") - updated, "deletes"), total(updated, "updates"), total(F.col("unchanged"), "unchanged"))
+
+
 def density_vector(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:
     """Density of each column prefix. All prefixes are counted in one aggregation."""
     types = {f.name: f.dataType for f in df.schema}
@@ -68,6 +107,24 @@ def merge_partitions(counts: DataFrame) -> DataFrame:
     return counts.groupBy("key").agg(F.sum("cnt").alias("cnt"))
 
 
+def refresh_partitions(df: DataFrame, key: str, part: Column, changed: Sequence[str], path: str) -> DataFrame:
+    """Rebuild the stored value counts of the ``changed`` partitions from ``df`` and return those of all partitions.
+
+    Of ``df`` only rows of changed partitions are read, whole files of others are left out where it is stored by ``part``; a partition
+    that has no rows any more loses its counts.
+    """
+    counts = partition_stats(df.filter(part.cast("string").isin(*changed)), key, part)
+    write_partition_stats(counts, path)
+    kept = df.sparkSession.read.schema(counts.schema).parquet(path)
+    found = {r.part for r in counts.select("part").distinct().collect()}  # no more than ``changed``
+    return kept.filter(~F.col("part").isin(*[c for c in changed if c not in found])) if found != {*changed} else kept
+
+
+def merged_histogram(counts: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
+    """The histogram of a whole table from the value counts of its partitions, without reading the table."""
+    return histogram_of_counts(merge_partitions(counts), max_steps)
+
+
 def changed_partitions(counts: DataFrame, changes: DataFrame) -> DataFrame:
     """Per partition: rows, values, changes, and whether the changes pass the refresh threshold of that partition."""
     size = counts.groupBy("part").agg(F.sum("cnt").alias("rows"), F.count(F.lit(1)).alias("distinct_values"))

@@ -6,8 +6,10 @@ import logging
 import re
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -138,22 +140,25 @@ def natural_order(names) -> list[str]:
     return sorted(names, key=lambda n: [int(p) if p.isdigit() else p for p in re.split(r"(\d+)", n)])
 
 
-def run_all(checks: dict[str, Callable[[], DataFrame]], path: str) -> tuple[dict[str, DataFrame], dict[str, float]]:
-    """Run the checks in natural order of their names, write each result below ``path`` and read it back.
+def run_all(checks: dict[str, Callable[[], DataFrame]], path: str, at_once: int = 4) -> tuple[dict[str, DataFrame], dict[str, float]]:
+    """Run the checks as jobs of their own, ``at_once`` side by side, write each result below ``path`` and read it back.
 
-    A check that fails is reported and skipped. The seconds of each check come with the results.
+    Jobs are begun in natural order of the names of checks and share the executors as Spark schedules them. A check that fails, also while it
+    runs, is reported and skipped; the others stay. The seconds of each check come with the results.
     """
-    results, seconds = {}, {}
-    for name in natural_order(checks):
-        start = time.monotonic()
+    def run(name: str) -> tuple[DataFrame | None, float]:
+        start, result = time.monotonic(), None
         try:
             df = checks[name]()
             df.write.mode("overwrite").parquet(f"{path}/{name}")
-            results[name] = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
-        except (PySparkException, ValueError, KeyError) as e:
+            result = df.sparkSession.read.schema(df.schema).parquet(f"{path}/{name}")
+        except (PySparkException, Py4JJavaError, ValueError, KeyError) as e:
             log.warning("check %s failed: %s", name, str(e).splitlines()[0])
-            continue
-        finally:
-            seconds[name] = time.monotonic() - start
-        log.info("check %s took %.1f s", name, seconds[name])
-    return results, seconds
+        took = time.monotonic() - start
+        log.info("check %s took %.1f s", name, took)
+        return result, took
+
+    names = natural_order(checks)
+    with ThreadPoolExecutor(at_once) as pool:
+        done = dict(zip(names, pool.map(run, names)))
+    return {n: df for n, (df, _) in done.items() if df is not None}, {n: took for n, (_, took) in done.items()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import ntz
@@ -10,6 +13,7 @@ from ..operators import accuracy as acc
 from ..operators import profile as prof
 from ..operators.histogram import histogram
 from ..operators.profile import sampled
+from ..session import scratch_path
 from ..sources.definitions import stat_columns
 from ..sources.tables import collect_all, count_events, read_events, read_named
 from .fixture import ACCESS_KINDS, STAT_DEFS, TABLE_DEFS, access_log, collected, names_of_stats
@@ -103,6 +107,37 @@ def usage_attach(spark, sf):
     return prof.attach_usage(read_named(spark, sf, "customer").select("c_custkey", "c_mktsegment"), usage, "c_custkey")
 
 
+def stat_merged_histogram(spark, sf):
+    """Counts of orders kept by year at an earlier time; only years with newer orders are counted again."""
+    orders, part, path = read_named(spark, sf, "orders"), F.year("o_orderdate"), scratch_path(spark, "orders-by-year")
+    newer = F.col("o_orderdate") > ntz(STALE)
+    prof.write_partition_stats(prof.partition_stats(orders.filter(~newer), "o_custkey", part), path)
+    changed = [r.part for r in orders.filter(newer).select(part.cast("string").alias("part")).distinct().collect()]  # years
+    return prof.merged_histogram(prof.refresh_partitions(orders, "o_custkey", part, changed, path)).select(
+        "stepnumber", "range_hi_key", "range_rows", "eq_rows", "distinct_range_rows", F.col("avg_range_rows").cast("double").alias("avg_range_rows"))
+
+
+def stat_distinct_estimate(spark, sf):
+    """Distinct values of columns from a fifth of the rows, beside the exact figure."""
+    lines = read_named(spark, sf, "lineitem")
+    sample = sampled(lines, "l_orderkey", 20)
+    parts = []
+    for key in ("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"):
+        exact = lines.agg(F.count(key).alias("rows"), F.count_distinct(key).alias("exact"))
+        found = prof.distinct_from_sample(sample, key, F.lit(lines.filter(F.col(key).isNotNull()).count()))
+        parts.append(found.crossJoin(exact).select(F.lit(key).alias("key_column_name"), "rows", *found.columns, "exact"))  # one row each
+    return reduce(DataFrame.unionByName, parts)
+
+
+def stat_snapshot_changes(spark, sf):
+    """Lines before and after a night in which some were shipped late, some cancelled and some added."""
+    lines = read_named(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate")
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    before = lines.filter(F.pmod(k, F.lit(7)) != 0)
+    after = lines.filter(F.pmod(k, F.lit(11)) != 0).withColumn("l_quantity", F.when(F.pmod(k, F.lit(13)) == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    return prof.snapshot_changes(before, after, ["l_orderkey", "l_linenumber", "l_returnflag"], "l_returnflag")
+
+
 def auto_threshold(spark, sf):
     per_key = read_named(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("name")).agg(F.count(F.lit(1)).alias("rows"))
     tables = {n: read_named(spark, sf, n).select(F.lit(n).alias("name")) for n in ("orders", "lineitem", "events", "nation")}
@@ -160,7 +195,8 @@ QUERIES = {
     "stat_histogram_int": _hist("orders", "o_custkey"), "stat_histogram_date": _hist("lineitem", "l_shipdate"),
     "stat_histogram_decimal": _hist("lineitem", "l_extendedprice"),
     "stat_history": stat_history, "stat_sampled": stat_sampled, "stat_filtered": stat_filtered,
-    "stat_partition_merge": stat_partition_merge, "usage_rollup": usage_rollup, "usage_attach": usage_attach,
+    "stat_partition_merge": stat_partition_merge, "stat_merged_histogram": stat_merged_histogram, "stat_distinct_estimate": stat_distinct_estimate,
+    "stat_snapshot_changes": stat_snapshot_changes, "usage_rollup": usage_rollup, "usage_attach": usage_attach,
     "auto_threshold": auto_threshold, "ref_count": ref_count,
     "acc_eq": _stale_columns("range_hi_key", "eq_rows", "actual_eq_rows"),
     "acc_range": _stale_columns("previous_range_hi_key", "range_hi_key", "range_rows", "actual_range_rows", "distinct_range_rows",
@@ -222,6 +258,13 @@ def _hist_select(table: str, key: str) -> str:
     return f"WITH {hist_cte('h', table, key)} SELECT stepnumber, range_hi_key, range_rows, eq_rows, distinct_range_rows, {avg_sql()} AS avg_range_rows FROM h"
 
 
+def _estimate(key: str) -> str:
+    return f"""SELECT '{key}' AS key_column_name, n AS rows, r AS rows_sampled, d AS distinct_in_sample, f AS seen_once,
+      round(sqrt(CAST(n AS DOUBLE) / r) * f + (d - f), 4) AS estimate, d AS at_least, least(CAST(ceil(CAST(n AS DOUBLE) / r * f + (d - f)) AS BIGINT), n) AS at_most, exact FROM
+      (SELECT count({key}) AS n, count(DISTINCT {key}) AS exact FROM lineitem), (SELECT CAST(sum(c) AS BIGINT) AS r, count(*) AS d, count(*) FILTER (WHERE c = 1) AS f FROM
+      (SELECT {key}, count(*) AS c FROM lineitem WHERE l_orderkey % 100 < 20 AND {key} IS NOT NULL GROUP BY 1))"""
+
+
 def _topn() -> str:
     tables = {t.name: t for t in TABLE_DEFS}
     ctes, parts = [], []
@@ -256,6 +299,15 @@ ORACLES = {
         _density_row(3, "row(l_returnflag, l_linestatus, l_shipmonth)", "strlen(l_returnflag) + strlen(l_linestatus) + 4")]),
     "stat_histogram_int": _hist_select("orders", "o_custkey"), "stat_histogram_date": _hist_select("lineitem", "l_shipdate"),
     "stat_histogram_decimal": _hist_select("lineitem", "l_extendedprice"),
+    "stat_merged_histogram": _hist_select("orders", "o_custkey"),
+    "stat_distinct_estimate": " UNION ALL ".join(_estimate(k) for k in ("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")),
+    "stat_snapshot_changes": """WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS q, l_shipdate, l_orderkey + l_linenumber AS k FROM lineitem),
+      b AS (SELECT l_orderkey, l_linenumber, l_returnflag, q, l_shipdate, count(*) AS n FROM l WHERE k % 7 <> 0 GROUP BY ALL),
+      a AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN k % 13 = 0 THEN q + 1 ELSE q END AS q, l_shipdate, count(*) AS n FROM l WHERE k % 11 <> 0 GROUP BY ALL),
+      j AS (SELECT l_orderkey, l_linenumber, l_returnflag, coalesce(b.n, 0) AS x, coalesce(a.n, 0) AS y FROM b FULL JOIN a USING (l_orderkey, l_linenumber, l_returnflag, q, l_shipdate)),
+      g AS (SELECT l_returnflag, sum(greatest(x - y, 0)) AS gone, sum(greatest(y - x, 0)) AS come, sum(least(x, y)) AS same FROM j GROUP BY l_orderkey, l_linenumber, l_returnflag)
+      SELECT l_returnflag, CAST(sum(come - least(gone, come)) AS BIGINT) AS inserts, CAST(sum(gone - least(gone, come)) AS BIGINT) AS deletes,
+        CAST(sum(least(gone, come)) AS BIGINT) AS updates, CAST(sum(same) AS BIGINT) AS unchanged FROM g GROUP BY 1""",
     "stat_history": with_collected("""SELECT CAST(rowid AS BIGINT) AS rowid, CAST(history_number AS BIGINT) AS history_number, updated, table_cardinality, steps, density, rows_above, rows_below,
       inserts_since_last_update, CAST(deletes_since_last_update AS BIGINT) AS deletes_since_last_update, leading_column_type FROM history"""),
     "stat_sampled": _header("lineitem", "l_partkey", "8", "TRUE", "l_orderkey % 100 < 20"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import checks_events as ev
 from ..operators import report as rep
 from ..operators import texts as tx
-from ..session import spread
+from ..session import scratch_path, spread
 from ..sources.tables import read_named
 from ..streaming.rates import file_stream, hourly_updates, modification_rate, run_to_table
 from . import queries_catalogue, queries_collect, queries_histogram, queries_history, queries_log
@@ -70,7 +70,9 @@ def _checks(spark, sf):
 
 
 def rep_summary(spark, sf):
-    return rep.summary({k: f() for k, f in _checks(spark, sf).items()})
+    collected(spark, sf)  # once, before checks that share it run side by side
+    results, _ = rep.run_all(_checks(spark, sf), scratch_path(spark, "checks"))
+    return rep.summary(results)
 
 
 def rep_priority(spark, sf):
