@@ -73,10 +73,11 @@ def log_top(metrics: DataFrame, n: int = 5000, skip: bool = False) -> DataFrame:
 
 
 def counter_delta(before: DataFrame, after: DataFrame, key: str, counter: str) -> DataFrame:
-    """Growth of a counter between two readings. A key that was not there before started at 0."""
+    """Growth of a counter between two readings. A key that was not there before started at 0; a counter that has fallen was
+    reset in between and has grown by what it shows now."""
+    old, new = F.coalesce("before", F.lit(0)), F.col(counter)
     return after.join(before.select(key, F.col(counter).alias("before")), key, "left").select(
-        key, F.coalesce("before", F.lit(0)).alias("before"), F.col(counter).alias("after"),
-        (F.col(counter) - F.coalesce("before", F.lit(0))).alias("delta"))
+        key, old.alias("before"), new.alias("after"), F.when(new < old, new).otherwise(new - old).alias("delta"))
 
 
 def row_variance(roll: DataFrame, pct: int = 30, rows: int = 100) -> DataFrame:

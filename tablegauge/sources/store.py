@@ -52,9 +52,13 @@ def append_results(df: DataFrame, path: str, cleanup: bool = False) -> DataFrame
 
 
 def export_plans(plans: DataFrame, path: str) -> None:
-    """One folder per query hash with one file of its plan texts."""
-    texts = plans.select("query_hash", F.col("plan_doc").alias("value"))
-    texts.repartition("query_hash").write.mode("overwrite").partitionBy("query_hash").text(path)
+    """One folder per query hash, in it one per distinct plan (named by its md5) with one file of its text.
+
+    Plans are dealt out by hash and plan, so a hash with many plans is no single task's work.
+    """
+    texts = plans.filter("plan_doc IS NOT NULL").select("query_hash", F.md5("plan_doc").alias("plan"), F.col("plan_doc").alias("value"))
+    one_each = texts.groupBy("query_hash", "plan").agg(F.first("value").alias("value"))
+    one_each.write.mode("overwrite").partitionBy("query_hash", "plan").text(path)
 
 
 def cleanup(spark: SparkSession, prefix: str) -> list[str]:

@@ -12,7 +12,18 @@ from tablegauge.operators.checks_events import check_nearest_event
 from tablegauge.operators.checks_history import check_cadence, check_hidden_ascending, check_steps_changed
 from tablegauge.operators.collect import leading_type
 from tablegauge.operators.histogram import histogram
-from tablegauge.operators.profile import merge_sketches, partition_stats, sketch_partitions, stat_header, usage_rollup, write_partition_stats
+from tablegauge.operators.profile import (
+    distinct_from_sample,
+    merge_sketches,
+    merged_histogram,
+    partition_stats,
+    refresh_partitions,
+    sketch_partitions,
+    snapshot_changes,
+    stat_header,
+    usage_rollup,
+    write_partition_stats,
+)
 from tablegauge.operators.querylog import counter_delta, log_top
 from tablegauge.operators.report import Metric, check_label, natural_order, priority_counts, run_all, summary
 from tablegauge.operators.texts import _with_keywords, filed, keyword_hits, keyword_two_hops
@@ -218,6 +229,9 @@ def test_stores(spark, tmp_path):
     assert append_results(spark.range(3), f"{p}/acc", cleanup=True).count() == 3
     export_plans(spark.createDataFrame([("h1", "<a/>"), ("h2", "<b/>")], "query_hash string, plan_doc string"), f"{p}/plans")
     assert spark.read.text(f"{p}/plans/query_hash=h1").first().value == "<a/>"
+    export_plans(spark.createDataFrame([("h", f"<a>{k % 3}\n</a>") for k in range(9)] + [("h", None)], "query_hash string, plan_doc string"), f"{p}/more")
+    files = [r.value for r in spark.read.text(f"{p}/more/query_hash=h", wholetext=True).select("value").collect()]
+    assert sorted(f.rstrip("\n") for f in files) == ["<a>0\n</a>", "<a>1\n</a>", "<a>2\n</a>"]
 
 
 def test_cleanup_drops_by_prefix(spark):
@@ -238,6 +252,52 @@ def test_partition_statistics_replace_only_changed(spark, tmp_path):
     assert (merged.rows, merged.distinct_values) == (3, 2)
 
 
+def test_histogram_is_merged_and_reads_changed_partitions_only(spark, tmp_path):
+    """The files of an unchanged year are gone, so a run that read them would fail."""
+    rnd = random.Random(3)
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    rows = [(rnd.choice([None, *range(300)]), 2000 + k % 4) for k in range(5000)]
+    old = spark.createDataFrame([r for r in rows if r[1] != 2003 or rnd.random() < 0.5] + [(7, 1999)], "k long, y int")
+    write_partition_stats(partition_stats(old, "k", F.col("y")), state)
+    spark.createDataFrame(rows, "k long, y int").write.partitionBy("y").parquet(table)
+    now = spark.read.parquet(table)
+    for f in (tmp_path / "table" / "y=2001").glob("*.parquet"):
+        f.write_bytes(b"not a table")
+    got = merged_histogram(refresh_partitions(now, "k", F.col("y"), ["1999", "2003"], state)).collect()
+    want = histogram(spark.createDataFrame(rows, "k long, y int"), "k").collect()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_changes_between_snapshots(spark):
+    schema = "k int, part string, v string"
+    before = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "b", None), (4, "b", "y"), (5, "b", "z"), (5, "b", "z"), (None, "b", "n")], schema)
+    after = spark.createDataFrame([(1, "a", "x"), (2, "a", "new"), (3, "b", None), (5, "b", "z"), (6, "a", "x"), (6, "a", "x"), (None, "b", "n")], schema)
+    got = {r.part: (r.inserts, r.deletes, r.updates, r.unchanged) for r in snapshot_changes(before, after, ["k", "part"], "part").collect()}
+    assert got == {"a": (2, 0, 1, 1), "b": (0, 2, 0, 3)}
+    assert tuple(snapshot_changes(before, after, ["k", "part"]).first()) == (2, 2, 1, 4)
+    assert tuple(snapshot_changes(before.limit(0), after.limit(0), ["k"]).first()) == (0, 0, 0, 0)
+    with pytest.raises(ValueError):
+        snapshot_changes(before, after.drop("v"), ["k"])
+
+
+@pytest.mark.parametrize("values", [50, 2000, 40_000])
+def test_distinct_values_from_a_sample(spark, values):
+    """The exact figure lies within the bounds, and the estimate within the root of the sampling ratio."""
+    df = spark.range(40_000).select((F.pmod(F.xxhash64("id"), F.lit(values))).alias("k"), "id")
+    exact = df.select("k").distinct().count()
+    r = distinct_from_sample(df.filter("id % 10 = 3"), "k", 40_000).first()
+    assert r.at_least <= exact <= r.at_most and 1 / 3.2 <= r.estimate / exact <= 3.2
+    none = distinct_from_sample(df.limit(0), "k", 0).first()
+    assert (none.estimate, none.at_least, none.rows_sampled) == (0.0, 0, 0)
+
+
+def test_checks_run_side_by_side(spark, tmp_path):
+    """A check that fails while its job runs leaves the others."""
+    bad = spark.range(10).selectExpr("raise_error('no') AS x")
+    results, seconds = run_all({f"chk{k}": (lambda k=k: bad if k == 5 else spark.range(k)) for k in range(1, 9)}, str(tmp_path))
+    assert {n: df.count() for n, df in results.items()} == {f"chk{k}": k for k in range(1, 9) if k != 5} and len(seconds) == 8
+
+
 def test_header_filter_and_sample(spark):
     df = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 2).alias("f"))
     r = stat_header(df, ["k"], where="f = 0", sample_on="k", sample_pct=10).first()
@@ -271,6 +331,8 @@ def test_counters_and_top(spark):
     a = spark.createDataFrame([("x", 3)], "k string, n long")
     b = spark.createDataFrame([("x", 5), ("y", 2)], "k string, n long")
     assert {tuple(r) for r in counter_delta(a, b, "k", "n").collect()} == {("x", 3, 5, 2), ("y", 0, 2, 2)}
+    c = spark.createDataFrame([("x", 1), ("y", 9)], "k string, n long")
+    assert {tuple(r) for r in counter_delta(b, c, "k", "n").collect()} == {("x", 5, 1, 1), ("y", 2, 9, 7)}
     m = spark.createDataFrame([("b", 1.0), ("a", 1.0), ("c", 2.0)], "query_hash string, query_impact double")
     assert [r.query_hash for r in log_top(m, 2).collect()] == ["c", "a"]
     assert log_top(m, skip=True).count() == 0
