@@ -6,8 +6,11 @@ the declarations lives on the driver.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.keys import key_is_null, key_is_null_sql, key_sql
@@ -18,6 +21,9 @@ from ..session import spread
 from ..sources.definitions import StatDef, TableDef, in_sample, stat_def_frame
 from ..sources.store import load, save
 from .histogram import MAX_STEPS, histogram_steps, written_counts
+from .sketches import DISTINCT_BITS, MERGE_GROUPS, tuple_hash
+
+log = logging.getLogger(__name__)
 
 SNAPS = [1, 2, 3, 4]  # 1 is the newest refresh
 
@@ -86,6 +92,24 @@ def prefix_sizes(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFr
     return _sizes(values.withColumnRenamed("cnt", "s1"))
 
 
+def sketched_prefix_sizes(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFrame | None:
+    """As ``prefix_sizes``, with distinct values from sketches: of each prefix one sketch per group of tasks is shuffled, no values."""
+    types = {f.name: f.dataType for f in df.schema}
+    aggs, merged, stacked = [], [], []
+    for s in stats:
+        keep = F.expr(f"coalesce(({s.filter or 'true'}) AND {_sampled(s, types)}, false)")
+        for n in range(2, len(s.columns) + 1):
+            cols, at = s.columns[:n], len(stacked)
+            size = F.expr(" + ".join(value_bytes(c, types[c]) for c in cols))
+            aggs += [F.hll_sketch_agg(F.when(keep, tuple_hash(cols)), DISTINCT_BITS).alias(f"v{at}"), F.sum(F.when(keep, size)).alias(f"b{at}"), F.count_if(keep).alias(f"r{at}")]
+            merged += [F.hll_sketch_estimate(F.hll_union_agg(f"v{at}")).alias(f"v{at}"), F.sum(f"b{at}").alias(f"b{at}"), F.sum(f"r{at}").alias(f"r{at}")]
+            stacked.append(f"{s.rowid}, {n}, v{at}, b{at} / r{at}, r{at}")
+    if not stacked:
+        return None
+    one = df.filter(_seen_at(table, 1)).groupBy((F.spark_partition_id() % MERGE_GROUPS).alias("part")).agg(*aggs).agg(*merged)
+    return one.selectExpr(f"stack({len(stacked)}, {', '.join(stacked)}) AS (rowid, n, distinct_values, average_length, rows_sampled)").filter("rows_sampled > 0")
+
+
 def _sizes(values: DataFrame) -> DataFrame:
     return values.groupBy("rowid", "n").agg(
         F.count(F.lit(1)).alias("distinct_values"), F.try_divide(F.sum(F.col("key_bytes") * F.col("s1")), F.sum("s1")).alias("average_length"),
@@ -257,27 +281,63 @@ def attach_usage_columns(stat: DataFrame, usage: DataFrame) -> DataFrame:
     return out.withColumn("last_used", F.greatest(*USAGE_TIMES))
 
 
+FAILURES = (PySparkException, Py4JJavaError, OSError, KeyError, TypeError, ValueError)
+
+
+def _first_pass(frames: dict[str, DataFrame], used: list[TableDef], by_table: dict[str, list[StatDef]], path: str) -> tuple[DataFrame, DataFrame]:
+    """Value counts of all statistics and totals of their tables, written."""
+    counts = written_counts(_union([key_counts(spread(frames[t.name]), t, by_table[t.name]) for t in used]), ["rowid", "hi"])
+    return counts, save({"profile": _union([table_profile(frames[t.name], t) for t in used])}, path, True)["profile"]
+
+
+def _can_be_read(frames: dict[str, DataFrame], table: TableDef, stats: list[StatDef]) -> bool:
+    """Whether one table can be counted on its own; only asked for when all of them together have failed."""
+    try:
+        df = frames[table.name]
+        key_counts(df, table, stats).write.format("noop").mode("overwrite").save()
+        table_profile(df, table).write.format("noop").mode("overwrite").save()
+        if (longer := prefix_sizes(df, table, stats)) is not None:
+            longer.write.format("noop").mode("overwrite").save()
+    except FAILURES as e:
+        log.warning("table %s skipped: %s", table.name, str(e).splitlines()[0] if str(e) else type(e).__name__)
+        return False
+    return True
+
+
 TABLES = ["stat", "stat_header", "density", "histogram", "stat_history", "profile"]
 
 
 def collect(
     spark: SparkSession, frames: dict[str, DataFrame], tables: list[TableDef], stats: list[StatDef], path: str,
-    refresh: bool = False, max_steps: int = MAX_STEPS, usage: Callable[[], DataFrame] | None = None,
+    refresh: bool = False, max_steps: int = MAX_STEPS, usage: Callable[[], DataFrame] | None = None, sketched: bool = False,
 ) -> dict[str, DataFrame]:
-    """All collected tables, saved below ``path`` and reused from there unless ``refresh``."""
+    """All collected tables, saved below ``path`` and reused from there unless ``refresh``.
+
+    A table that fails, also while it is read, is reported and skipped with its statistics; the others are collected. With ``sketched``, distinct values
+    of prefixes of two or more columns come from sketches.
+    """
     if not refresh:
         kept = load(spark, TABLES, path)
         if kept is not None:
             return kept
     by_table = {t.name: [s for s in stats if s.table == t.name] for t in tables}
-    used = [t for t in tables if by_table[t.name]]
-    defs = stat_def_frame(spark, frames, used, stats)
-    spread_frames = {t.name: spread(frames[t.name]) for t in used}
-    counts = written_counts(_union([key_counts(spread_frames[t.name], t, by_table[t.name]) for t in used]), ["rowid", "hi"])
-    profile = save({"profile": _union([table_profile(frames[t.name], t) for t in used])}, path, True)["profile"]
+    for t in tables:
+        if by_table[t.name] and t.name not in frames:
+            log.warning("table %s skipped: it is not there", t.name)
+    used = [t for t in tables if by_table[t.name] and t.name in frames]
+    try:
+        counts, profile = _first_pass(frames, used, by_table, path)
+    except FAILURES:
+        used = [t for t in used if _can_be_read(frames, t, by_table[t.name])]
+        if not used:
+            raise
+        counts, profile = _first_pass(frames, used, by_table, path)
+    kept_stats = [s for t in used for s in by_table[t.name]]
+    defs = stat_def_frame(spark, frames, used, [s for s in stats if s in kept_stats])
     steps = histogram_steps(counts, SNAPS, max_steps)
     saved = save({"steps_all": steps}, path, True)["steps_all"]
-    longer = [p for t in used if (p := prefix_sizes(spread_frames[t.name], t, by_table[t.name])) is not None]
+    sizes_of = sketched_prefix_sizes if sketched else prefix_sizes
+    longer = [p for t in used if (p := sizes_of(spread(frames[t.name]), t, by_table[t.name])) is not None]
     shown = defs.filter("with_histogram").select("rowid")
     out = save({
         "density": density_vectors(counts, longer, defs),

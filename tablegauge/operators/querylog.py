@@ -6,7 +6,7 @@ writes, rows. Times are microseconds, reads and writes pages of 8 KB.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import boundaries, idiv
 from ..functions.numbers import or_one, ratio
@@ -80,6 +80,37 @@ def counter_delta(before: DataFrame, after: DataFrame, key: str, counter: str) -
         key, old.alias("before"), new.alias("after"), F.when(new < old, new).otherwise(new - old).alias("delta"))
 
 
+def counter_segments(readings: DataFrame, key: str, ts: str, counter: str, bucket: str = "DAY") -> DataFrame:
+    """Per key and time bucket: first and last reading and the growth between them, where a reading below the one before is a reset.
+
+    Buckets split the readings of a hot key; what lies between two buckets is added by ``joined_growth``.
+    """
+    order = Window.partitionBy("key", "bucket").orderBy("ts", "counter")
+    new, old = F.col("counter"), F.col("old")
+    rows = readings.select(F.col(key).alias("key"), F.col(ts).alias("ts"), F.col(counter).cast("long").alias("counter")).filter(
+        "key IS NOT NULL AND ts IS NOT NULL AND counter IS NOT NULL")
+    return rows.withColumn("bucket", F.date_trunc(bucket, "ts").cast("timestamp_ntz")).withColumn("old", F.lag("counter").over(order)).groupBy("key", "bucket").agg(
+        F.min_by("counter", F.struct("ts", "counter")).alias("first"), F.max_by("counter", F.struct("ts", "counter")).alias("last"),
+        F.max("ts").alias("last_ts"), F.count(F.lit(1)).alias("readings"), F.count_if(new < old).alias("resets"),
+        F.coalesce(F.sum(F.when(new < old, new).otherwise(new - old)), F.lit(0).cast("long")).alias("grown"))
+
+
+def joined_growth(segments: DataFrame) -> DataFrame:
+    """Growth per key over all its segments in order of their buckets; a segment without a bucket is what was known before and comes first."""
+    order = Window.partitionBy("key").orderBy(F.asc_nulls_first("bucket"))
+    first, old = F.col("first"), F.col("old")
+    gap = F.when(F.col("bucket").isNull(), 0).when(old.isNull() | (first < old), first).otherwise(first - old)
+    return segments.withColumn("old", F.lag("last").over(order)).groupBy("key").agg(
+        F.max("last_ts").alias("last_ts"), F.max_by("last", F.struct(F.col("bucket").isNotNull(), "bucket")).alias("last"),
+        F.sum("readings").alias("readings"), (F.sum("resets") + F.count_if(first < old)).alias("resets"), (F.sum("grown") + F.sum(gap)).alias("grown"))
+
+
+def counter_growth(readings: DataFrame, key: str, ts: str, counter: str) -> DataFrame:
+    """Growth of each key's counter over all its readings. The first reading counts from 0, a reading below the one before is a reset and counts
+    whole; readings of one time are taken in order of their values, and those without key, time or value are left out."""
+    return joined_growth(counter_segments(readings, key, ts, counter))
+
+
 def row_variance(roll: DataFrame, pct: int = 30, rows: int = 100) -> DataFrame:
     """Queries whose row counts swing far around their average (min_rows, max_rows, avg_rows)."""
     lo, hi, avg = F.col("min_rows"), F.col("max_rows"), F.col("avg_rows")

@@ -31,6 +31,12 @@ METRICS = [
     Metric("stat", "Databases", priority="NA", kind="total", expr="count(DISTINCT database_name)"),
     Metric("stat", "Tables", priority="NA", kind="total", expr="count(DISTINCT database_name || '.' || table_name)"),
     Metric("stat", "Statistics", priority="NA", kind="total", expr="count(*)"),
+    Metric("stat", "Databases with statistics that are not refreshed by themselves", "NOT is_auto_update_stats_on", fix="Switch it on or refresh by schedule", kind="distinct", expr="database_name"),
+    Metric("stat", "Databases with tables whose statistics are not created by themselves", "NOT is_auto_create_stats_on", fix="Switch it on", kind="distinct", expr="database_name"),
+    Metric("stat", "Databases that create statistics by themselves but do not refresh them", "is_auto_create_stats_on AND NOT is_auto_update_stats_on", "Medium", "Switch both on", "distinct", "database_name"),
+    Metric("stat", "Partitioned tables that a rebuild of an index would only sample", "is_table_partitioned AND statistic_type = 'Index_Statistic'", fix="Refresh after the rebuild", kind="distinct", expr="database_name || '.' || table_name"),
+    Metric("chk01_history", "No history of refreshes found", "number_of_statistic_data_available > 1", "Medium", "Keep the history", "none"),
+    Metric("src_event_filter", "No log of events found", priority="Low", fix="Log them", kind="none"),
     Metric("chk30_stale", "Changed statistics not refreshed for a day", "hours_since_last_update >= 24 AND current_number_of_modified_rows_since_last_update > 0", fix="Schedule a refresh"),
     Metric("chk30_stale", "Percent of statistics changed and not refreshed for a day", "hours_since_last_update >= 24 AND current_number_of_modified_rows_since_last_update > 0", kind="percent"),
     Metric("chk08_tiny", "Tiny tables with changed statistics", fix="Refresh them"),

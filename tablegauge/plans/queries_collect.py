@@ -11,9 +11,10 @@ from ..functions.clock import ntz
 from ..functions.keys import key_text, native_key
 from ..operators import accuracy as acc
 from ..operators import profile as prof
+from ..operators import sketches as sk
 from ..operators.histogram import histogram
 from ..operators.profile import sampled
-from ..session import scratch_path
+from ..session import scratch_path, written
 from ..sources.definitions import stat_columns
 from ..sources.tables import collect_all, count_events, read_events, read_named
 from .fixture import ACCESS_KINDS, STAT_DEFS, TABLE_DEFS, access_log, collected, names_of_stats
@@ -129,6 +130,51 @@ def stat_distinct_estimate(spark, sf):
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Keys whose histogram is made from quantile sketches, and into how many shares.
+SKETCHED, SHARES = ("l_partkey", "l_extendedprice", "l_shipdate", "l_linenumber"), 50
+
+
+def stat_histogram_sketch(spark, sf):
+    """Bounds of equal shares of the lines from a sketch per year, each with whether its real rank is within the error of the sketch."""
+    lines = read_named(spark, sf, "lineitem")
+    parts = []
+    for key in SKETCHED:
+        kept = written(sk.quantile_sketches(lines, key, F.year("l_shipdate")), "quantiles")
+        bounds = written(sk.sketch_bounds(kept, lines.schema[key].dataType, SHARES), "bounds")
+        audit = sk.rank_audit(lines, key, bounds)
+        parts.append(audit.select(
+            F.lit(key).alias("key_column_name"), F.col("share").cast("long").alias("share"), "target_rows", (F.col("rank_error") <= sk.rank_error()).alias("within"),
+            F.when(F.col("share") == SHARES, F.col("rows_up_to")).alias("rows_up_to_last")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+PREFIX = ["l_partkey", "l_suppkey", "l_shipdate"]
+
+
+def stat_density_sketch(spark, sf):
+    """Distinct values of prefixes from sketches per year, against the exact figures."""
+    lines = read_named(spark, sf, "lineitem")
+    merged = sk.merged_density(written(sk.prefix_sketches(lines, PREFIX, F.year("l_shipdate")), "prefixes"), PREFIX)
+    exact = prof.density_vector(lines, PREFIX).select("density_number", F.col("distinct_values").alias("exact"))
+    return merged.join(exact, "density_number").select(
+        F.col("density_number").cast("long").alias("density_number"), "columns", "rows", "average_length", "exact",
+        (F.abs(F.col("distinct_values") - F.col("exact")) <= F.ceil(F.col("exact") * sk.distinct_error())).alias("within"))
+
+
+#: Keys whose most frequent values are asked for, with few and with many values, even and uneven.
+HITTERS = {"lineitem": ("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"), "events": ("event_type", "user_id"), "orders": ("o_custkey", "o_orderkey")}
+
+
+def acc_heavy_hitters(spark, sf):
+    """The ten most frequent values of keys of several types, by candidates; keys without a repeated value give no rows."""
+    parts = [sk.heavy_hitters(read_named(spark, sf, t), k).select(F.lit(k).alias("key_column_name"), F.col("key_value").cast("string").alias("key_value"), "number_of_rows")
+             for t, keys in HITTERS.items() for k in keys if k not in ("l_extendedprice", "l_shipdate")]
+    dated = [sk.heavy_hitters(read_named(spark, sf, "lineitem"), k).select(
+        F.lit(k).alias("key_column_name"), (F.date_format("key_value", "yyyy-MM-dd HH:mm:ss") if k == "l_shipdate" else F.round(F.col("key_value") * 100).cast("long").cast("string")).alias("key_value"),
+        "number_of_rows") for k in ("l_extendedprice", "l_shipdate")]
+    return reduce(DataFrame.unionByName, parts + dated)
+
+
 def stat_snapshot_changes(spark, sf):
     """Lines before and after a night in which some were shipped late, some cancelled and some added."""
     lines = read_named(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate")
@@ -196,6 +242,7 @@ QUERIES = {
     "stat_histogram_decimal": _hist("lineitem", "l_extendedprice"),
     "stat_history": stat_history, "stat_sampled": stat_sampled, "stat_filtered": stat_filtered,
     "stat_partition_merge": stat_partition_merge, "stat_merged_histogram": stat_merged_histogram, "stat_distinct_estimate": stat_distinct_estimate,
+    "stat_histogram_sketch": stat_histogram_sketch, "stat_density_sketch": stat_density_sketch, "acc_heavy_hitters": acc_heavy_hitters,
     "stat_snapshot_changes": stat_snapshot_changes, "usage_rollup": usage_rollup, "usage_attach": usage_attach,
     "auto_threshold": auto_threshold, "ref_count": ref_count,
     "acc_eq": _stale_columns("range_hi_key", "eq_rows", "actual_eq_rows"),
@@ -265,6 +312,12 @@ def _estimate(key: str) -> str:
       (SELECT {key}, count(*) AS c FROM lineitem WHERE l_orderkey % 100 < 20 AND {key} IS NOT NULL GROUP BY 1))"""
 
 
+def _hitters(table: str, key: str) -> str:
+    text = {"l_shipdate": f"strftime({key}, '%Y-%m-%d %H:%M:%S')", "l_extendedprice": f"CAST(CAST(round({key} * 100) AS BIGINT) AS VARCHAR)"}.get(key, f"CAST({key} AS VARCHAR)")
+    return f"""SELECT * FROM (SELECT '{key}' AS key_column_name, {text} AS key_value, n AS number_of_rows FROM
+      (SELECT {key}, count(*) AS n FROM {table} GROUP BY 1 ORDER BY n DESC, 1 NULLS FIRST LIMIT 10) WHERE n > 1)"""
+
+
 def _topn() -> str:
     tables = {t.name: t for t in TABLE_DEFS}
     ctes, parts = [], []
@@ -301,6 +354,11 @@ ORACLES = {
     "stat_histogram_decimal": _hist_select("lineitem", "l_extendedprice"),
     "stat_merged_histogram": _hist_select("orders", "o_custkey"),
     "stat_distinct_estimate": " UNION ALL ".join(_estimate(k) for k in ("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")),
+    "stat_histogram_sketch": " UNION ALL ".join(f"""SELECT '{k}' AS key_column_name, i AS share, (count({k}) * i + {SHARES - 1}) // {SHARES} AS target_rows, TRUE AS within,
+      CASE WHEN i = {SHARES} THEN count({k}) END AS rows_up_to_last FROM lineitem, (SELECT unnest(range(1, {SHARES + 1})) AS i) GROUP BY i""" for k in SKETCHED),
+    "stat_density_sketch": " UNION ALL ".join(f"""SELECT {n} AS density_number, '{','.join(PREFIX[:n])}' AS columns, count(*) AS rows, CAST({8 * n} AS DOUBLE) AS average_length,
+      count(DISTINCT row({', '.join(PREFIX[:n])})) AS exact, TRUE AS within FROM lineitem""" for n in (1, 2, 3)),
+    "acc_heavy_hitters": " UNION ALL ".join(_hitters(t, k) for t, keys in HITTERS.items() for k in keys),
     "stat_snapshot_changes": """WITH l AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity AS q, l_shipdate, l_orderkey + l_linenumber AS k FROM lineitem),
       b AS (SELECT l_orderkey, l_linenumber, l_returnflag, q, l_shipdate, count(*) AS n FROM l WHERE k % 7 <> 0 GROUP BY ALL),
       a AS (SELECT l_orderkey, l_linenumber, l_returnflag, CASE WHEN k % 13 = 0 THEN q + 1 ELSE q END AS q, l_shipdate, count(*) AS n FROM l WHERE k % 11 <> 0 GROUP BY ALL),

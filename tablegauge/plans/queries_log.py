@@ -40,6 +40,12 @@ def log_delta(spark, sf):
     return ql.counter_delta(at("2024-01-03"), at("2024-01-29"), "plan_handle", "execution_count")
 
 
+def log_counter_growth(spark, sf):
+    """Readings of a counter per session that falls back to nothing every hour."""
+    readings = read_named(spark, sf, "events").withColumn("reading", F.minute("ts") * 60 + F.second("ts"))
+    return ql.counter_growth(readings, "user_id", "ts", "reading").withColumnRenamed("key", "user_id")
+
+
 def row_rollup(spark, sf):
     """Lines per supplier and year read as the rows of one execution."""
     runs = read_named(spark, sf, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("y"), "l_linenumber").agg(F.count(F.lit(1)).alias("rows"))
@@ -84,6 +90,7 @@ QUERIES = {
     "log_metrics": lambda s, sf: ql.log_metrics(by_user(valid_log(s, sf))),
     "log_top": lambda s, sf: ql.log_top(ql.log_metrics(by_user(valid_log(s, sf))), 20).select("query_hash", "query_impact", "executions"),
     "log_delta": log_delta,
+    "log_counter_growth": log_counter_growth,
     "log_variance": lambda s, sf: ql.row_variance(row_rollup(s, sf), rows=10),
     "log_size_band": log_size_band,
     "text_clean": text_clean,
@@ -161,6 +168,10 @@ ORACLES = {
     "log_top": f"WITH {LOG}, {_roll(_user)} SELECT query_hash, round(ln(total_cpu * 3 + total_reads + total_writes), 2) AS query_impact, executions FROM roll ORDER BY 2 DESC, 1 LIMIT 20",
     "log_delta": f"""WITH {LOG} SELECT plan_handle, count(*) FILTER (WHERE execution_time <= TIMESTAMP '2024-01-03') AS before, count(*) AS after,
       count(*) - count(*) FILTER (WHERE execution_time <= TIMESTAMP '2024-01-03') AS delta FROM lg WHERE execution_time <= TIMESTAMP '2024-01-29' GROUP BY 1""",
+    "log_counter_growth": """WITH o AS (SELECT user_id, ts, c, lag(c) OVER (PARTITION BY user_id ORDER BY ts, c) AS old FROM
+      (SELECT user_id, ts, minute(ts) * 60 + second(ts) AS c FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL))
+      SELECT user_id, max(ts) AS last_ts, max_by(c, row(ts, c)) AS last, count(*) AS readings, count(*) FILTER (WHERE c < old) AS resets,
+        CAST(sum(CASE WHEN old IS NULL OR c < old THEN c ELSE c - old END) AS BIGINT) AS grown FROM o GROUP BY 1""",
     "log_variance": """SELECT *, (min_rows + max_rows) // 2 >= 10 AND (min_rows * 100 < avg_rows * 70 OR max_rows * 100 > avg_rows * 130) AS has_unstable_rows FROM (
       SELECT l_suppkey AS query_hash, min(n) AS min_rows, max(n) AS max_rows, CAST(sum(n) // count(*) AS BIGINT) AS avg_rows FROM (
       SELECT l_suppkey, year(l_shipdate) AS y, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1)""",

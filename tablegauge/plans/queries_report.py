@@ -9,7 +9,7 @@ from ..operators import report as rep
 from ..operators import texts as tx
 from ..session import scratch_path, spread
 from ..sources.tables import read_named
-from ..streaming.rates import file_stream, hourly_updates, modification_rate, run_to_table
+from ..streaming.rates import file_stream, hourly_updates, modification_rate, run_counter_growth, run_to_table
 from . import queries_catalogue, queries_collect, queries_histogram, queries_history, queries_log
 from .fixture import collected
 from .oracle_base import with_collected
@@ -61,7 +61,7 @@ def prim_pivot(spark, sf):
 
 def _checks(spark, sf):
     """The results the summary counts on."""
-    every = {**queries_catalogue.QUERIES, **queries_history.QUERIES, **queries_histogram.QUERIES, **queries_log.QUERIES, **QUERIES}
+    every = {**queries_collect.QUERIES, **queries_catalogue.QUERIES, **queries_history.QUERIES, **queries_histogram.QUERIES, **queries_log.QUERIES, **QUERIES}
     wanted = dict.fromkeys(m.check for m in rep.METRICS)
     out = {k: (lambda k=k: every[k](spark, sf)) for k in wanted if k in every}
     out["stat"] = lambda: collected(spark, sf)["stat"]
@@ -87,11 +87,18 @@ def stream_busy_hours(spark, sf):
     return run_to_table(hourly_updates(file_stream(spark, sf, "events"), "ts"), "busy-hours")
 
 
+def stream_counter_growth(spark, sf):
+    """Readings of a counter per user that starts anew every day."""
+    readings = file_stream(spark, sf, "events").withColumn("counter", F.hour("ts") * 60 + F.minute("ts"))
+    return run_counter_growth(readings, "user_id", "ts", "counter", "counter-growth").withColumnRenamed("key", "user_id")
+
+
 QUERIES = {
     "chk04_nearest_event": chk04_nearest_event, "chk39_events": chk39_events, "chk22_phrase": chk22_phrase,
     "chk17_name_without_word": chk17_name_without_word, "chk43_keyword_2hop": chk43_keyword_2hop, "chk51_busy_window": chk51_busy_window,
     "rep_after_window": rep_after_window, "prim_pivot": prim_pivot, "rep_summary": rep_summary, "rep_priority": rep_priority,
     "stream_mod_rate": stream_mod_rate, "stream_busy_hours": stream_busy_hours,
+    "stream_counter_growth": stream_counter_growth,
 }
 
 BUSY = """h AS (SELECT date_trunc('hour', ts) AS t, count(*) AS cnt FROM events WHERE ts >= TIMESTAMP '2023-12-31' AND ts <= TIMESTAMP '2024-01-31' GROUP BY 1 HAVING count(*) > 5),
@@ -125,12 +132,16 @@ ORACLES = {
     "rep_after_window": _after,
     "prim_pivot": "SELECT user_id, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS {k}" for k in KINDS) + " FROM events GROUP BY 1",
     "stream_mod_rate": "SELECT date_trunc('minute', ts) AS window_start, event_type AS key, count(*) AS changes FROM events GROUP BY ALL",
+    "stream_counter_growth": """WITH r AS (SELECT user_id, ts, hour(ts) * 60 + minute(ts) AS c FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+      o AS (SELECT *, lag(c) OVER (PARTITION BY user_id ORDER BY ts, c) AS old FROM r)
+      SELECT user_id, max(ts) AS last_ts, max_by(c, row(ts, c)) AS last, count(*) AS readings, count(*) FILTER (WHERE c < old) AS resets,
+        CAST(sum(CASE WHEN old IS NULL OR c < old THEN c ELSE c - old END) AS BIGINT) AS grown, 0 AS late FROM o GROUP BY 1""",
     "stream_busy_hours": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS updates FROM events GROUP BY ALL",
 }
 
 
 def _summary_sql() -> str:
-    every = {**queries_catalogue.ORACLES, **queries_history.ORACLES, **queries_histogram.ORACLES, **queries_log.ORACLES, **ORACLES,
+    every = {**queries_collect.ORACLES, **queries_catalogue.ORACLES, **queries_history.ORACLES, **queries_histogram.ORACLES, **queries_log.ORACLES, **ORACLES,
              "stat": with_collected("SELECT * FROM stat"), "chk51_busy_window": _after}
     parts = []
     for check in dict.fromkeys(m.check for m in rep.METRICS):
