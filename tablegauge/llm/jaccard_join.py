@@ -78,14 +78,17 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     local = docs.select("text").mapInArrow(frugal(_frequent_in(width)), "shingle long, docs long")
     local.groupBy("shingle").agg(F.sum("docs").alias("docs")).write.parquet(path)
     counted = spark.read.parquet(path)
-    sizes = counted.groupBy(F.least("docs", F.lit(100_000)).alias("docs")).count().orderBy(F.desc("docs")).collect()
-    total, least = 0, 100_001
+    # shingles by the power of a quarter of their documents: some hundred groups, whatever the counts
+    level = F.floor(F.log2("docs") * 4).cast("int")
+    sizes = counted.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect()
+    total, least = 0, None
     for r in sizes:
         total += r["count"]
         if total > MOST_FREQUENT:
             break
-        least = r["docs"]
-    found = counted.filter(F.col("docs") >= least).toArrow()
+        least = r["level"]
+    # where even the highest level has too many, none of it is known: never more than ``MOST_FREQUENT`` reach the driver
+    found = counted.filter(level >= least if least is not None else F.lit(False)).toArrow()
     drop_path(spark, path)
     values = found.column("shingle").to_numpy().view(np.uint64)
     order = np.argsort(values)
