@@ -497,3 +497,16 @@ def _larger(sizes: DataFrame | None, full: DataFrame, path: str) -> DataFrame:
     """Sizes of lists with the new ones of ``full``, written, so that a round reads them and not the rounds before."""
     (full if sizes is None else sizes.unionByName(full).groupBy("a").agg(F.max("size").alias("size"))).write.parquet(path)
     return full.sparkSession.read.parquet(path)
+
+
+def oracle() -> str:
+    """DuckDB SQL for the classes of ``embeddings``: all pairs within a label, and what their links reach."""
+    return """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+o AS (SELECT vec_id, label, e, len(e) AS d, list_sum(list_transform(e, lambda x: x * x)) AS q FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM o a JOIN o b ON a.label = b.label AND a.d = b.d AND a.vec_id <> b.vec_id
+  WHERE a.q > 0 AND b.q > 0 AND list_dot_product(a.e, b.e) / (sqrt(a.q) * sqrt(b.q)) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+m AS (SELECT a, min(b) AS b FROM r GROUP BY 1), k AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(k.n, 0) AS n_links, least(vec_id, coalesce(m.b, vec_id)) AS component_id, least(vec_id, coalesce(m.b, vec_id)) = vec_id AS kept
+FROM v LEFT JOIN k ON k.a = vec_id LEFT JOIN m ON m.a = vec_id"""

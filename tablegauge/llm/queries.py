@@ -117,5 +117,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
               op10_quality_rules, op11_token_align, op12_licences, op13_fill_middle, pipeline)
 }
 
-ORACLES: dict[str, str] = {"op4_url_rules": url_rules.oracle(), "op7_mixing": mixing.oracle(), "op10_quality_rules": quality_rules.oracle(),
+ORACLES: dict[str, str] = {"op1_embedding_dedup": embedding_dedup.oracle(), "op9_jaccard_join": jaccard_join.oracle(), "op4_url_rules": url_rules.oracle(), "op7_mixing": mixing.oracle(), "op10_quality_rules": quality_rules.oracle(),
                            "op13_fill_middle": fill_middle.oracle()}

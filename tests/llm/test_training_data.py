@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import random
 import re
 import time
@@ -385,6 +386,50 @@ def test_net_scores_do_not_depend_on_neighbours():
     assert np.allclose(together, alone)
 
 
+def _score_of(net, text: bytes) -> float:
+    """The score of one text by plain loops over all its bytes, filters and chunks."""
+    width, hop = quality_net.WIDTH, quality_net.HOP
+    pooled = []
+    # a filter starts at every byte from which it meets the text or the zeros behind it, up to the end of the last hop
+    hops = -(-(len(text) + width - 1) // hop)
+    laid = text + bytes(hops * hop + width - len(text))
+    for h in range(hops):
+        last = h == hops - 1
+        starts = range(h * hop, (h + 1) * hop - (width - 1 if last else 0))
+        pooled.append([max(sum(float(net.tables[k][laid[i + k]][f]) for k in range(width)) for i in starts) for f in range(quality_net.FILTERS)])
+    chunks = [[max(pooled[h][f], pooled[h + 1][f]) if h + 1 < hops else pooled[h][f] for f in range(quality_net.FILTERS)] for h in range(hops)]
+    read = []
+    for c in chunks:
+        squashed = [math.tanh(x) for x in c]
+        read.append([max(0.0, sum(x * float(net.reader[f][j]) for f, x in enumerate(squashed)) + float(net.reader[-1][j])) for j in range(quality_net.HIDDEN)])
+    z = float(net.bias[0])
+    for j in range(quality_net.HIDDEN):
+        column = [r[j] for r in read]
+        z += sum(column) / len(column) * float(net.mean[j]) + max(column) * float(net.most[j])
+    return 1 / (1 + math.exp(-z))
+
+
+def test_net_scores_equal_plain_loops():
+    net = quality_net.Net.fresh(np.random.default_rng(5))
+    rng = random.Random(5)
+    texts = [b"", b"a", b"short text", bytes(rng.randrange(1, 256) for _ in range(251)), bytes(rng.randrange(256) for _ in range(252)), "naïve – 文書 ".encode() * 40,
+             bytes(rng.randrange(32, 127) for _ in range(256 * 3 + 7))]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    got = net.scores(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    both = [(g, _score_of(net, t)) for g, t in zip(got, texts)]
+    assert all(abs(a - b) < 1e-4 for a, b in both), both
+
+
+def test_frequent_shingles_stay_bounded(spark, docs, monkeypatch):
+    """Also where the most frequent level alone has too many; the classes are the same."""
+    want = classes_of(docs)
+    for most in (0, 1, 7):
+        monkeypatch.setattr(jaccard_join, "MOST_FREQUENT", most)
+        values, counts = jaccard_join._frequent(docs.select("doc_id", "text"), 5)
+        assert len(values) == len(counts) <= most
+    assert classes_of(docs) == want
+
+
 def test_pipeline_stages(spark):
     """Each stage against what its operator says alone, on what the stage before kept."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
