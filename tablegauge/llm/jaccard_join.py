@@ -24,7 +24,7 @@ MOST_FREQUENT = 1 << 20
 #: Bits of the filter that tells which documents a second reading must look at: two megabytes, whatever the size of the data.
 FILTER_BITS = 1 << 24
 #: Shingles that a task holds at once.
-HELD = 1 << 21
+HELD = 1 << 20
 #: Words of 64 bits in a document's bitmap, which tells most unlike pairs apart before whole sets are fetched.
 BITMAP = 16
 #: Rounds in which a list that is still open is compared with one of its members, before its rest is compared pairwise.
@@ -32,6 +32,13 @@ PIVOTS = 3
 #: One hot document is compared by so many tasks.
 SALTS = 64
 
+#: Bytes of a row group of the tables written between the steps: what a task's writer holds in memory.
+ROW_GROUP = 16 << 20
+
+
+def _put(df: DataFrame, path: str) -> None:
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted set of shingles of each text: runs of ``width`` words, or all words as one run where there are fewer."""
@@ -76,7 +83,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     spark = docs.sparkSession
     path = scratch_path(spark, "frequent")
     local = docs.select("text").mapInArrow(frugal(_frequent_in(width)), "shingle long, docs long")
-    local.groupBy("shingle").agg(F.sum("docs").alias("docs")).write.parquet(path)
+    _put(local.groupBy("shingle").agg(F.sum("docs").alias("docs")), path)
     counted = spark.read.parquet(path)
     # shingles by the power of a quarter of their documents: some hundred groups, whatever the counts
     level = F.floor(F.log2("docs") * 4).cast("int")
@@ -258,18 +265,18 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     base = scratch_path(spark, "jaccard")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = spark.sparkContext.broadcast(_frequent(rows, width))
-    rows.mapInArrow(frugal(_prefixes(width, percent, frequent)), "doc_id long, n int, first long, second long, prefix array<long>, bits array<long>").write.parquet(f"{base}/prefixes")
+    _put(rows.mapInArrow(frugal(_prefixes(width, percent, frequent)), "doc_id long, n int, first long, second long, prefix array<long>, bits array<long>"), f"{base}/prefixes")
     prefixes = spark.read.parquet(f"{base}/prefixes")
-    prefixes.select("doc_id", "n", "first", "second").write.parquet(f"{base}/own")
+    _put(prefixes.select("doc_id", "n", "first", "second"), f"{base}/own")
     own = spark.read.parquet(f"{base}/own")
 
     # equal sets are one class; equal prefixes and sizes one group, named by its smallest class
     key = prefixes.filter("n > 0 and doc_id is not null")
     classes = key.groupBy("n", "first", "second").agg(F.min("doc_id").alias("cls"), F.first(F.xxhash64("prefix")).alias("of_prefix"), F.first("bits").alias("bits"))
-    classes.write.parquet(f"{base}/classes")
+    _put(classes, f"{base}/classes")
     classes = spark.read.parquet(f"{base}/classes")
     grouped = classes.groupBy("n", "of_prefix").agg(F.min("cls").alias("grp"))
-    classes.join(grouped, ["n", "of_prefix"]).select("grp", "cls").write.parquet(f"{base}/members")
+    _put(classes.join(grouped, ["n", "of_prefix"]).select("grp", "cls"), f"{base}/members")
     members = spark.read.parquet(f"{base}/members")
     named = members.filter("grp = cls").select("grp")
     leaders = key.select(F.col("doc_id").alias("grp"), "n", "prefix").join(named, "grp").dropDuplicates(["grp"])
@@ -280,7 +287,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     tops = [F.first(c).over(by_token).alias(f"top{c[1:]}") for c in ("a", "a_n", "a_at")]
     across = local.filter("b is null").select("token", "a", "a_n", "a_at").select("*", *tops).filter("a > top")
     across = across.select("token", F.col("top").alias("a"), F.col("top_n").alias("a_n"), F.col("top_at").alias("a_at"), F.col("a").alias("b"), F.col("a_n").alias("b_n"), F.col("a_at").alias("b_at"))
-    local.filter("b is not null").unionByName(across).write.parquet(f"{base}/met")
+    _put(local.filter("b is not null").unionByName(across), f"{base}/met")
     met = spark.read.parquet(f"{base}/met")
     drop_path(spark, f"{base}/prefixes")
 
@@ -301,16 +308,16 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
     def compare(pairs: DataFrame, name: str) -> bool:
         """Compares the whole sets of ``pairs`` that were not compared before and whose bitmaps leave room; tells if any was."""
         new = pairs if not waves else pairs.join(done("pairs"), ["a", "b"], "left_anti")
-        _roomy(new, bitmaps, percent).write.parquet(f"{base}/pairs-{name}")
+        _put(_roomy(new, bitmaps, percent), f"{base}/pairs-{name}")
         new = spark.read.parquet(f"{base}/pairs-{name}")
         if new.isEmpty():
             return False
         ends = new.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         if waves:
             ends = ends.join(done("sets").select("id"), "id", "left_anti")
-        _sets_of(rows, ends, width).write.parquet(f"{base}/sets-{name}")
+        _put(_sets_of(rows, ends, width), f"{base}/sets-{name}")
         waves.append(name)
-        _verified(new, done("sets"), percent).write.parquet(f"{base}/links-{name}")
+        _put(_verified(new, done("sets"), percent), f"{base}/links-{name}")
         return True
 
     # first: every group against the one that most of its lists put beside it, every member against the first of its group
@@ -329,7 +336,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 75) -> DataF
         spread = of_members.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"))
         of_lists = lists.join(spread, "grp")
         unlike = of_lists.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("token")
-        of_lists.join(unlike, "token").write.parquet(f"{base}/open-{name}")
+        _put(of_lists.join(unlike, "token"), f"{base}/open-{name}")
         return spark.read.parquet(f"{base}/open-{name}")
 
     def side_of(df: DataFrame, p: str) -> DataFrame:
