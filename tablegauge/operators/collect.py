@@ -1,7 +1,7 @@
 """Collects statistics of many tables at once: catalogue, headers, density vectors, histograms and update history.
 
-Each table is scanned once for the value counts of all its statistics and once for its row and byte totals. Nothing but
-the declarations lives on the driver.
+Each key column is scanned once for the value counts of all statistics on it, and each table once for its row and byte
+totals. Nothing but the declarations lives on the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from collections.abc import Callable
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import types as T
 
 from ..functions.keys import key_is_null, key_is_null_sql, key_sql
 from ..functions.numbers import (
@@ -49,47 +50,58 @@ def _sampled(s: StatDef, types: dict) -> str:
 
 
 def key_counts(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFrame:
-    """Rows per (statistic, key value) in each snapshot, for all statistics of one table in one scan.
+    """Rows per (statistic, key value) in each snapshot, for all statistics of one table.
 
-    Sampled counts are s1..s4, counts of all rows that pass the filter f0 (now) and f1..f4.
+    Sampled counts are s1..s4, counts of all rows that pass the filter f0 (now) and f1..f4. A key column is read and grouped once, in its own
+    type, for all statistics on it; what tells these apart are counts. So no row is multiplied before it is counted.
     """
     types = {f.name: f.dataType for f in df.schema}
-    entries = []
+    by_key: dict[str, list[StatDef]] = {}
     for s in stats:
-        key = s.columns[0]
-        entry = (f"named_struct('rowid', {s.rowid}, 'hi', {key_sql(key, types[key])}, "
-                 f"'key_bytes', {value_bytes(key, types[key])}, 'sampled', {_sampled(s, types)})")
-        entries.append(entry if s.filter is None else f"CASE WHEN {s.filter} THEN {entry} END")
-    long = df.selectExpr(
-        f"{_seen_now(table)} AS p0", *[f"{_seen_at(table, h)} AS p{h}" for h in SNAPS],
-        f"explode(array({', '.join(entries)})) AS e",
-    ).filter("e IS NOT NULL").selectExpr("e.*", *[f"p{h}" for h in [0, *SNAPS]])
-    return long.groupBy("rowid", "hi").agg(
-        F.max("key_bytes").alias("key_bytes"),
-        *[F.expr(f"count_if(p{h} AND sampled) AS s{h}") for h in SNAPS],
-        *[F.expr(f"count_if(p{h}) AS f{h}") for h in [0, *SNAPS]],
-    )
+        by_key.setdefault(s.columns[0], []).append(s)
+    parts = []
+    for key, own in by_key.items():
+        dtype, rules = types[key], dict.fromkeys((s.filter, _sampled(s, types)) for s in own)
+        place = {rule: i for i, rule in enumerate(rules)}
+        counts = []
+        for (where, sampled), i in place.items():
+            kept = f"({where})" if where else "true"
+            counts += [f"count_if({kept}) AS n{i}", *[f"count_if({kept} AND {p}) AS f{h}_{i}" for h, p in [(0, _seen_now(table)), *[(h, _seen_at(table, h)) for h in SNAPS]]]]
+            counts += [f"count_if({kept} AND {_seen_at(table, h)} AND {sampled}) AS s{h}_{i}" for h in SNAPS if sampled != "true"]
+        grouped = df.groupBy(F.col(f"`{key}`").alias("key")).agg(*map(F.expr, counts))
+        entries = []
+        for s in own:
+            i = place[s.filter, _sampled(s, types)]
+            sampled = "f" if s.sample_pct is None else "s"
+            entries.append(
+                f"IF(n{i} > 0, named_struct('rowid', {s.rowid}, 'hi', {key_sql('key', dtype)}, 'key_bytes', {value_bytes('key', dtype)}, "
+                + ", ".join([*[f"'s{h}', {sampled}{h}_{i}" for h in SNAPS], *[f"'f{h}', f{h}_{i}" for h in [0, *SNAPS]]]) + "), NULL)")
+        parts.append(grouped.selectExpr(f"explode(array({', '.join(entries)})) AS e").filter("e IS NOT NULL").select("e.*"))
+    return _union(parts)
+
+
+def _told_apart(name: str, dtype: T.DataType) -> str:
+    """SQL text of a value that is only told apart from others; as text where the type itself does not compare like its text."""
+    plain = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.DateType, T.TimestampNTZType, T.StringType)
+    return f"`{name}`" if isinstance(dtype, plain) else f"CAST(`{name}` AS string)"
 
 
 def prefix_sizes(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFrame | None:
     """Distinct values and size of every prefix of two or more columns, at the newest refresh.
 
-    Such values only need to be told apart, so they are grouped as text arrays and never ordered or written.
+    Such values only need to be told apart, so they are grouped and never ordered or written.
     """
     types = {f.name: f.dataType for f in df.schema}
-    entries = []
+    parts = []
     for s in stats:
-        keep = f"({s.filter}) AND {_sampled(s, types)}" if s.filter else _sampled(s, types)
+        keep = f"({s.filter or 'true'}) AND {_sampled(s, types)}"
         for n in range(2, len(s.columns) + 1):
             cols = s.columns[:n]
-            entry = (f"named_struct('rowid', {s.rowid}, 'n', {n}, 'tup', array({', '.join(f'CAST(`{c}` AS string)' for c in cols)}), "
-                     f"'key_bytes', {' + '.join(value_bytes(c, types[c]) for c in cols)})")
-            entries.append(f"CASE WHEN {keep} THEN {entry} END")
-    if not entries:
-        return None
-    long = df.filter(_seen_at(table, 1)).selectExpr(f"explode(array({', '.join(entries)})) AS e").filter("e IS NOT NULL").select("e.*")
-    values = long.groupBy("rowid", "n", "tup").agg(F.count(F.lit(1)).alias("cnt"), F.max("key_bytes").alias("key_bytes"))
-    return _sizes(values.withColumnRenamed("cnt", "s1"))
+            rows = df.filter(_seen_at(table, 1)).filter(keep).selectExpr(
+                *[f"{_told_apart(c, types[c])} AS v{i}" for i, c in enumerate(cols)], f"{' + '.join(value_bytes(c, types[c]) for c in cols)} AS key_bytes")
+            values = rows.groupBy(*[f"v{i}" for i in range(n)]).agg(F.count(F.lit(1)).alias("s1"), F.max("key_bytes").alias("key_bytes"))
+            parts.append(_sizes(values.selectExpr(f"{s.rowid} AS rowid", f"{n} AS n", "s1", "key_bytes")))
+    return _union(parts) if parts else None
 
 
 def sketched_prefix_sizes(df: DataFrame, table: TableDef, stats: list[StatDef]) -> DataFrame | None:
@@ -286,7 +298,7 @@ FAILURES = (PySparkException, Py4JJavaError, OSError, KeyError, TypeError, Value
 
 def _first_pass(frames: dict[str, DataFrame], used: list[TableDef], by_table: dict[str, list[StatDef]], path: str) -> tuple[DataFrame, DataFrame]:
     """Value counts of all statistics and totals of their tables, written."""
-    counts = written_counts(_union([key_counts(spread(frames[t.name]), t, by_table[t.name]) for t in used]), ["rowid", "hi"])
+    counts = written_counts(_union([key_counts(frames[t.name], t, by_table[t.name]) for t in used]), ["rowid", "hi"])
     return counts, save({"profile": _union([table_profile(frames[t.name], t) for t in used])}, path, True)["profile"]
 
 
@@ -337,7 +349,7 @@ def collect(
     steps = histogram_steps(counts, SNAPS, max_steps)
     saved = save({"steps_all": steps}, path, True)["steps_all"]
     sizes_of = sketched_prefix_sizes if sketched else prefix_sizes
-    longer = [p for t in used if (p := sizes_of(spread(frames[t.name]), t, by_table[t.name])) is not None]
+    longer = [p for t in used if (p := sizes_of(spread(frames[t.name]) if sketched else frames[t.name], t, by_table[t.name])) is not None]
     shown = defs.filter("with_histogram").select("rowid")
     out = save({
         "density": density_vectors(counts, longer, defs),

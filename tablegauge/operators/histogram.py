@@ -19,12 +19,15 @@ from ..functions.keys import key_is_null, key_sql, native_key
 from ..session import written
 
 MAX_STEPS = 200
+#: Value counts that a range partition holds on average, however many there are in all.
+KEYS_AT_ONCE = 250_000
 
 
 def written_counts(counts: DataFrame, order: list[str]) -> DataFrame:
     """Value counts in the shared folder, range partitioned and numbered (``pid``)."""
-    # without a number, adaptive execution joins small neighbouring ranges; the order of ranges stays
-    return written(counts.repartitionByRange(*order).withColumn("pid", F.spark_partition_id()), "value-counts")
+    kept = written(counts, "unordered-counts")  # counted once, however often they are read to find and fill the ranges
+    ranges = -(-kept.count() // KEYS_AT_ONCE) or 1
+    return written(kept.repartitionByRange(ranges, *order).withColumn("pid", F.spark_partition_id()), "value-counts")
 
 
 def _offsets(counts: DataFrame, snaps: list[int]) -> DataFrame:
@@ -51,24 +54,27 @@ def histogram_steps(counts: DataFrame, snaps: list[int], max_steps: int = MAX_ST
     heavy = (max_steps - 1) // 2
     keyed = counts.filter(~key_is_null())
 
-    # the offsets have one row per statistic and range partition that holds a part of it
-    placed = keyed.join(F.broadcast(_offsets(keyed, snaps)), ["rowid", "pid"])
+    # as many tasks as range partitions; the rows that a window holds are narrow, totals come after it
+    ranges = (counts.agg(F.max("pid")).first()[0] or 0) + 1
     order = "OVER (PARTITION BY rowid, pid ORDER BY hi"
-    running = placed.selectExpr("rowid", "hi", "pid", *[
+    narrow = keyed.select("rowid", "hi", "pid", *[f"s{h}" for h in snaps])
+    local = (narrow.repartition(ranges, "rowid", "pid") if ranges > 1 else narrow).selectExpr("*", *[
         text for h in snaps for text in (
-            f"s{h}", f"total{h}", f"keys{h}", f"off{h} + sum(s{h}) {order} ROWS UNBOUNDED PRECEDING) AS cum{h}",
-            f"rnoff{h} + count_if(s{h} > 0) {order} ROWS UNBOUNDED PRECEDING) AS rn{h}")
-    ]).selectExpr("*", *[f"IF(s{h} > 0, (cum{h} * {heavy} + total{h} - 1) div total{h}, NULL) AS b{h}" for h in snaps])
+            f"sum(s{h}) {order} ROWS UNBOUNDED PRECEDING) AS up_to{h}", f"count_if(s{h} > 0) {order} ROWS UNBOUNDED PRECEDING) AS place{h}",
+            f"lead(IF(s{h} > 0, s{h}, NULL)) IGNORE NULLS {order}) AS after{h}")])
+    figures = [f"named_struct('snap', {h}, 'cnt', s{h}, 'up_to', up_to{h}, 'place', place{h}, 'after', after{h})" for h in snaps]
+    here = local.selectExpr("rowid", "pid", "hi", f"explode(array({', '.join(figures)})) AS x").select("rowid", "pid", "hi", "x.*").filter("cnt > 0")
+    # the offsets have one row per statistic, range partition that holds a part of it, and snapshot
+    before = [f"named_struct('snap', {h}, 'off', off{h}, 'rnoff', rnoff{h}, 'total', total{h}, 'keys', keys{h})" for h in snaps]
+    offsets = _offsets(keyed, snaps).selectExpr("rowid", "pid", f"explode(array({', '.join(before)})) AS x").select("rowid", "pid", "x.*")
+    running = here.join(F.broadcast(offsets), ["rowid", "pid", "snap"]).selectExpr(
+        "rowid", "snap", "hi", "cnt", "off + up_to AS cum", "rnoff + place AS rn", "after", "total", "keys")
     # A key ends a step when it stands alone or the next key is in another bucket. The last key of a range partition does
     # not see the next one; it stays a candidate and is settled below, among a few rows.
-    following = running.selectExpr("*", *[f"lead(b{h}) IGNORE NULLS {order}) AS next{h}" for h in snaps])
-    alone = [f"(rn{h} = 1 OR keys{h} <= {max_steps} OR s{h} * {heavy} >= total{h})" for h in snaps]
-    ends_here = [f"coalesce(s{h} > 0 AND ({a} OR next{h} IS NULL OR next{h} <> b{h}), false)" for h, a in zip(snaps, alone)]
-    rows = [
-        f"IF({e}, named_struct('snap', {h}, 'cnt', s{h}, 'cum', cum{h}, 'rn', rn{h}, 'bucket', b{h}, 'alone', {a}), NULL)"
-        for h, e, a in zip(snaps, ends_here, alone)]
-    candidates = following.filter(" OR ".join(ends_here)).selectExpr("rowid", "hi", f"explode(array({', '.join(rows)})) AS x").filter(
-        "x IS NOT NULL").select("rowid", "hi", "x.*")
+    candidates = running.selectExpr(
+        "rowid", "snap", "hi", "cnt", "cum", "rn", f"(cum * {heavy} + total - 1) div total AS bucket",
+        f"((cum + after) * {heavy} + total - 1) div total AS next_bucket", f"(rn = 1 OR keys <= {max_steps} OR cnt * {heavy} >= total) AS alone",
+    ).filter("alone OR next_bucket IS NULL OR next_bucket <> bucket")
     last = F.max("rn").over(Window.partitionBy("rowid", "snap", "bucket"))
     ends = candidates.withColumn("last_of_bucket", last).filter("alone OR rn = last_of_bucket")
     by_step = Window.partitionBy("rowid", "snap").orderBy("rn")
