@@ -24,6 +24,8 @@ TRACKED = 10_000
 DISTINCT_BITS = 14
 #: Groups of tasks whose sketches are merged side by side before they meet in one task.
 MERGE_GROUPS = 64
+#: Rows that one task counts where all values are counted.
+ROWS_AT_ONCE = 1_000_000
 
 
 def rank_error(size: int = QUANTILE_SIZE) -> float:
@@ -151,7 +153,8 @@ def heavy_hitters(df: DataFrame, key: str, n: int = 10, tracked: int = TRACKED)
 
     A first pass keeps candidates in sketches of a fixed size, a second one counts the candidates, so neither shuffles all keys. No value that
     is missing among the candidates can have more rows than the sketch's error, nor more than the rows that are not counted: where the n-th candidate
-    has more than that, the result is proven. Where it has not, because nearly all values are as rare as each other, all values are counted.
+    has more than that, the result is proven. Where it has not, because nearly all values are as rare as each other, all
+    other values are counted too.
     """
     if not 0 < n <= tracked:
         raise ValueError("n must be between 1 and the number of tracked values")
@@ -168,9 +171,10 @@ def heavy_hitters(df: DataFrame, key: str, n: int = 10, tracked: int = TRACKED)
     top = counted.orderBy(F.desc("cnt"), "key").limit(n).collect()
     rest = rows - (counted.agg(F.sum("cnt")).first()[0] or 0)
     least = top[-1].cnt if len(top) == n else 0
+    nulls = df.sparkSession.range(1 if every > rows else 0).select(F.lit(None).cast(dtype).alias("key"), F.lit(every - rows).cast("long").alias("cnt"))
+    whole = counted.unionByName(nulls)
     if rest and least <= min(rest, frequent_error(rows, tracked)):
-        whole = value_counts(keys, "key")
-    else:
-        nulls = df.sparkSession.range(1 if every > rows else 0).select(F.lit(None).cast(dtype).alias("key"), F.lit(every - rows).cast("long").alias("cnt"))
-        whole = counted.unionByName(nulls)
+        # none of the values left has more rows than the sketch's error, so they are dealt out evenly and a task holds few of them
+        others = keys.filter("key IS NOT NULL").join(F.broadcast(items), "key", "left_anti")
+        whole = whole.unionByName(value_counts(others.repartition(-(-rest // ROWS_AT_ONCE), "key"), "key"))
     return whole.orderBy(F.desc("cnt"), "key").limit(n).filter("cnt > 1").select(F.col("key").alias("key_value"), F.col("cnt").alias("number_of_rows"))

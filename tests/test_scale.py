@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablegauge.operators import collect, histogram
+from tablegauge.operators import accuracy, collect, histogram, sketches
 from tablegauge.sources.definitions import StatDef, TableDef
 
 
@@ -38,3 +38,15 @@ def test_rows_are_counted_before_they_are_multiplied(spark):
     sizes = collect.prefix_sizes(df, table, stats)
     assert "Generate" not in _plan(sizes)
     assert [(r.rowid, r.n, r.distinct_values, r.average_length, r.rows_sampled) for r in sizes.collect()] == [(2, 2, 1, 16.0, 1)]
+
+
+def test_a_full_count_is_dealt_out_without_frequent_values(spark, monkeypatch):
+    df = spark.range(20_000).select((F.col("id") + 10).alias("k")).unionByName(spark.range(9_000).select(F.lit(1).cast("long").alias("k"))).unionByName(
+        spark.range(700).select(F.lit(None).cast("long").alias("k")))
+    seen, plain = [], sketches.value_counts
+    monkeypatch.setattr(sketches, "value_counts", lambda d, k: seen.append(d) or plain(d, k))
+    monkeypatch.setattr(sketches, "ROWS_AT_ONCE", 2_000, raising=False)
+    assert sketches.heavy_hitters(df, "k", 10, 500).collect() == accuracy.top_values(df, "k", 10).collect()
+    others = seen[1]
+    assert others.filter("key = 1 OR key IS NULL").count() == 0
+    assert others.rdd.getNumPartitions() == -(-others.count() // 2_000) > 5
