@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablegauge.operators import accuracy, collect, histogram, sketches
+from tablegauge.operators import accuracy, collect, histogram, sketches, texts
 from tablegauge.sources.definitions import StatDef, TableDef
 
 
@@ -50,3 +50,18 @@ def test_a_full_count_is_dealt_out_without_frequent_values(spark, monkeypatch):
     others = seen[1]
     assert others.filter("key = 1 OR key IS NULL").count() == 0
     assert others.rdd.getNumPartitions() == -(-others.count() // 2_000) > 5
+
+
+def test_few_keywords_need_no_letter_groups(spark):
+    body = spark.createDataFrame([(1, "a license here"), (2, None), (3, "copyright, licensed"), (4, "none")], "id int, body string")
+    few = spark.createDataFrame([("License",), ("copyright",), ("",)], "keyword string")
+    found = texts._with_keywords(body, few)
+    assert "regexp_extract_all" not in _plan(found)
+    assert sorted((r.id, r.keyword) for r in found.collect()) == [(1, "license"), (3, "copyright"), (3, "license")]
+
+
+def test_second_corpus_is_searched_once(spark):
+    a = spark.createDataFrame([(1, "license of alpha"), (2, "beta")], "id int, text string")
+    found = texts.keyword_two_hops(a, "id", "text", F.regexp_extract("text", "(alpha|beta)", 1), ["license"], a, "id", "text")
+    assert "contains(" not in _plan(found).lower()
+    assert sorted((r.found_in, r.command_found) for r in found.collect()) == [("1", "alpha"), ("1", "license")]
