@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tablegauge.operators import accuracy, collect, histogram, sketches, texts
+from tablegauge.operators import accuracy, collect, histogram, plandoc, sketches, texts
 from tablegauge.sources.definitions import StatDef, TableDef
 
 
@@ -65,3 +65,25 @@ def test_second_corpus_is_searched_once(spark):
     found = texts.keyword_two_hops(a, "id", "text", F.regexp_extract("text", "(alpha|beta)", 1), ["license"], a, "id", "text")
     assert "contains(" not in _plan(found).lower()
     assert sorted((r.found_in, r.command_found) for r in found.collect()) == [("1", "alpha"), ("1", "license")]
+
+
+def _distinct(op: str) -> str:
+    return f"<p><RelOp {op}><Sort><OrderBy><OrderByColumn><ColumnReference Column='c'/></OrderByColumn></OrderBy></Sort></RelOp></p>"
+
+
+def test_only_documents_that_may_hold_the_operator_are_read(spark):
+    ops = ['LogicalOp="Distinct Sort"', "LogicalOp='Distinct&#32;Sort'", "LogicalOp = 'D&#x69;stinct\nSort'", 'LogicalOp="Sort" Note="Distinct Sort"', 'LogicalOp="Flow Distinct"']
+    plans = spark.createDataFrame([(i, float(-i), _distinct(op)) for i, op in enumerate(ops)] + [(8, 0.0, None), (9, 0.0, _distinct(ops[0]) + "<broken")], "plan_id int, query_impact double, plan_doc string")
+    found = plandoc.plans_with_distinct(plans)
+    assert "rlike" in _plan(found).lower()
+    assert [(r.plan_id, r.referenced_columns) for r in found.collect()] == [(0, "c"), (1, "c"), (2, "c"), (4, "")]
+
+
+def test_reader_keeps_what_is_looked_at():
+    doc = "<a x='1' y='2'><b><c x='3'/></b><c x='4' z='5'/></a>"
+    reader = plandoc._Reader(frozenset({"a", "c"}), frozenset({"x"}))
+    reader.read(doc)
+    reader.read("<a><c></a>")
+    rows = reader.array().to_pylist()
+    assert [(n["name"], n["parent"], n["last"], n["attrs"]) for n in rows[0]] == [("a", -1, 2, [("x", "1")]), ("c", -1, 1, [("x", "3")]), ("c", 0, 2, [("x", "4")])]
+    assert rows[1] is None
