@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +35,19 @@ class Targets:
     rounds: int = 30
 
 
+def written_out(pattern: str) -> list[str]:
+    """The texts that a pattern of plain letters, character classes and alternatives stands for: a search for a text needs no pattern."""
+    out = []
+    for branch in re.split(r"(?<!\\)\|", pattern):
+        parts = re.findall(r"\[([^]]+)\]|\\(.)|(.)", branch)
+        out += map("".join, itertools.product(*[letters or escaped or plain for letters, escaped, plain in parts]))
+    return out
+
+
 def topic_of(text: Column) -> Column:
     topic = F.lit("prose")
     for name, pattern in reversed(TOPICS.items()):
-        topic = F.when(text.rlike(pattern), name).otherwise(topic)
+        topic = F.when(reduce(or_, [F.contains(text, F.lit(part)) for part in written_out(pattern)]), name).otherwise(topic)
     return topic
 
 

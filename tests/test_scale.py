@@ -1,7 +1,11 @@
 """Steps that must hold little per task, read little or search little, whatever the size of the tables."""
 
+import itertools
+import re
+
 from pyspark.sql import functions as F
 
+from tablegauge.llm import mixing
 from tablegauge.operators import accuracy, collect, histogram, plandoc, sketches, texts
 from tablegauge.sources.definitions import StatDef, TableDef
 
@@ -87,3 +91,15 @@ def test_reader_keeps_what_is_looked_at():
     rows = reader.array().to_pylist()
     assert [(n["name"], n["parent"], n["last"], n["attrs"]) for n in rows[0]] == [("a", -1, 2, [("x", "1")]), ("c", -1, 1, [("x", "3")]), ("c", 0, 2, [("x", "4")])]
     assert rows[1] is None
+
+
+def test_topics_are_plain_texts(spark):
+    texts_of = ["License", "licenCe", "LICENSE", "a | b", "a|b", "x@y", "Copyright!!", "copyrigh", "lice\nnse", "Hi!!", ""]
+    df = spark.createDataFrame([(t,) for t in texts_of], "t string")
+    named = df.select("t", mixing.topic_of(F.col("t")).alias("topic"))
+    assert "rlike" not in _plan(named).lower()
+    want = {t: next((n for n, p in mixing.TOPICS.items() if re.search(p, t)), "prose") for t in texts_of}
+    assert {r.t: r.topic for r in named.collect()} == want
+    for p in mixing.TOPICS.values():
+        parts = mixing.written_out(p)
+        assert len(parts) == len(set(parts)) and all(re.fullmatch(p, s) for s in itertools.chain(parts))
