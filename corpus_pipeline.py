@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablegauge.llm import bpe, jaccard_join, mixing, quality_net, secrets
-from tablegauge.llm.queries import prepare, table, vocabulary
+from tablegauge.llm.queries import SMALL_BATCH, prepare, table, vocabulary
 from tablegauge.session import scratch_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,13 +20,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
-    prepare(spark)
+    prepare(spark, SMALL_BATCH)
     return jaccard_join.keep_one_per_class(docs).select(*COLUMNS)
 
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by their kind."""
-    prepare(spark)
+    prepare(spark, SMALL_BATCH)
     return secrets.redact_secrets(docs).select(*COLUMNS)
 
 
@@ -37,7 +37,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, with their number and checksums."""
-    prepare(spark)
+    prepare(spark, SMALL_BATCH)
     encoded = bpe.encode_documents(docs, vocabulary("word_bpe_49k.json"), with_ids=True)
     return encoded.select("doc_id", F.col("ids").alias("token_ids"), "n_tokens", "ids_sha256", "decoded_sha256")
 

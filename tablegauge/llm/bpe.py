@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from tablegauge.llm.memory import frugal
 from tablegauge.llm.pieces import PieceTable, byte_level_cuts, odd_rows
-from tablegauge.llm.words import blocks
+from tablegauge.llm.words import SMALL_BLOCK, blocks
 
 #: Stands for the end of a word inside this module.
 _END = "\uffff"
 #: Words and pairs of tokens that a task remembers.
 REMEMBERED = 20_000
+#: Pieces that a task remembers, some 10 MB beside the vocabulary.
+MOST_PIECES = 1 << 18
 _NEVER = 1 << 60
 
 
@@ -181,11 +183,11 @@ class WordBpe:
 def _encoder(vocabulary: str, with_ids: bool) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = WordBpe(vocabulary)
-        table = PieceTable(byte_level_cuts, bpe.pieces, np.uint32)
+        table = PieceTable(byte_level_cuts, bpe.pieces, np.uint32, MOST_PIECES)
         specials = [t.encode() for t in bpe.specials]
         for batch in batches:
             sizes, ids_sums, text_sums, lists = [], [], [], []
-            for _, data, offsets in blocks(batch.column("text")):
+            for _, data, offsets in blocks(batch.column("text"), SMALL_BLOCK):
                 odd = odd_rows(data, offsets, specials)
                 ids, bounds = table.texts(data, offsets)
                 for k in range(len(offsets) - 1):

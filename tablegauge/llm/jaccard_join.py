@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tablegauge.llm.components import components
 from tablegauge.llm.memory import frugal
-from tablegauge.llm.words import blocks, hashes, mix, spans, windows
+from tablegauge.llm.words import SMALL_BLOCK, blocks, hashes, mix, spans, windows
 from tablegauge.session import drop_path, scratch_path
 
 #: Shingles that may be known as frequent: twelve bytes each on every executor, whatever the size of the data.
@@ -42,7 +42,7 @@ def _put(df: DataFrame, path: str) -> None:
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted set of shingles of each text: runs of ``width`` words, or all words as one run where there are fewer."""
-    for _, data, offsets in blocks(texts):
+    for _, data, offsets in blocks(texts, SMALL_BLOCK):
         starts, ends, rows = spans(data, offsets)
         words = hashes(data, starts, ends)
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist()):
@@ -156,9 +156,13 @@ def _local_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_token(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    token, group, size, place = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((group, token))
-    token, group, size, place = token[order], group[order], size[order], place[order]
+    columns = [np.concatenate(x) for x in zip(*parts)]
+    parts.clear()
+    order = np.lexsort((columns[1], columns[0]))
+    for k, column in enumerate(columns):  # one after the other: a task holds few copies
+        columns[k] = column[order]
+    del column, order
+    token, group, size, place = columns
     head = np.ones(len(token), bool)
     head[1:] = token[1:] != token[:-1]
     at = np.flatnonzero(head)[np.cumsum(head) - 1]

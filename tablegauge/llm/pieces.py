@@ -77,11 +77,12 @@ def byte_level_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class PieceTable:
     """Remembers the ids of pieces by a 64-bit hash of their bytes.
 
-    ``encode`` gets new pieces as texts and returns all their ids one after the other, and how many each has.
+    ``encode`` gets new pieces as texts and returns all their ids one after the other, and how many each has. ``most``: how many
+    pieces are remembered; the pieces of the texts at hand always are.
     """
 
-    def __init__(self, cuts: Callable, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: type = np.uint16):
-        self.cuts, self.encode, self.kind = cuts, encode, kind
+    def __init__(self, cuts: Callable, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kind: type = np.uint16, most: int = MOST_PIECES):
+        self.cuts, self.encode, self.kind, self.most = cuts, encode, kind, most
         self._clear()
 
     def _clear(self) -> None:
@@ -119,7 +120,7 @@ class PieceTable:
         keys, first, which = np.unique(hashes(data, starts, ends, lower=False), return_index=True, return_inverse=True)
         at, known = self._find(keys)
         if not known.all():
-            if len(self.keys) + np.count_nonzero(~known) > MOST_PIECES or self.spare > MOST_IDS:
+            if len(self.keys) + np.count_nonzero(~known) > self.most or self.spare > MOST_IDS:
                 self._clear()
                 known = np.zeros(len(keys), bool)
             new = np.flatnonzero(~known)

@@ -166,7 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Net:
             if r["size"] <= left:
                 left -= r["size"]
                 chosen.append(r["doc_id"])
-    wanted = spark.createDataFrame([(i,) for i in sorted(set(chosen))], "doc_id long")
+    # as Arrow: from a list, Spark would start Python workers of another kind, which stay beside those of ``mapInArrow``
+    wanted = spark.createDataFrame(pa.table({"doc_id": pa.array(sorted(set(chosen)), pa.int64())}))
     rows = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(wanted), "doc_id").join(known, "doc_id").groupBy("doc_id").agg(
         F.min("text").alias("text"), F.min("quality").alias("quality")
     ).collect()

@@ -28,6 +28,10 @@ from tablegauge.session import ship_package
 #: Rows and bytes of an Arrow batch, whichever comes first. A longer text is a batch of its own.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
+#: Bytes of a batch in the stages of the pipeline that neither gain nor change with larger ones.
+SMALL_BATCH = 1 << 20
+#: Rows that a reader of Parquet files lays out at once; its arrays hold the whole texts of as many.
+READER_ROWS = 512
 
 
 def vocabulary(name: str) -> str:
@@ -36,11 +40,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = BATCH_BYTES) -> None:
     """Ships this package, and lets Python workers and the JVM hold fewer whole texts at once."""
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablegauge.llm.memory import frugal
-from tablegauge.llm.words import blocks
+from tablegauge.llm.words import SMALL_BLOCK, blocks
 
 #: The base rules, in the order in which spans are listed; group 2 of ``assign`` has 6 characters or more, the others as many as said.
 BASE = {
@@ -256,7 +256,7 @@ def _scan(added: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(added)
         for batch in batches:
-            rows = [x for _, data, offsets in blocks(batch.column("text")) for x in scanner.block(data, offsets)]
+            rows = [x for _, data, offsets in blocks(batch.column("text"), SMALL_BLOCK) for x in scanner.block(data, offsets)]
             columns = [batch.column("doc_id")]
             for kind in BASE:
                 columns.append(pa.array([sum(s[3] == kind for s in x) for x in rows], pa.int64()))
@@ -310,7 +310,7 @@ def _redactor(added: dict[str, str]):
         scanner = Scanner(added)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            rows = [x for _, data, offsets in blocks(texts) for x in scanner.block(data, offsets)]
+            rows = [x for _, data, offsets in blocks(texts, SMALL_BLOCK) for x in scanner.block(data, offsets)]
             new = [_without(t, x) if x else t for t, x in zip(texts.to_pylist(), rows)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, texts.type)], names=batch.schema.names)
 

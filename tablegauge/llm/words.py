@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that are handled at once; a longer text is handled alone.
 BLOCK_BYTES = 1 << 20
+#: The same for work that needs some dozen times the bytes of a block: its arrays stay a few megabytes.
+SMALL_BLOCK = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -30,14 +32,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(1, -(-(n - 1) // SMALL_BLOCK)) * SMALL_BLOCK + 1  # no more than the blocks need, and seldom made anew
         _POWERS["up"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]), dtype=np.uint64)
         _POWERS["down"] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, _INVERSE)]), dtype=np.uint64)
     return _POWERS["up"], _POWERS["down"]
 
 
-def blocks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, offsets) of runs of rows of about ``BLOCK_BYTES``; a null text is an empty one."""
+def blocks(texts: pa.Array | pa.ChunkedArray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets) of runs of rows of about ``size`` bytes; a null text is an empty one."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -48,7 +50,7 @@ def blocks(texts: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, np.ndarray,
     data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
         end = min(end, n)
         yield row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
