@@ -25,8 +25,9 @@ from tablegauge.operators.profile import (
     write_partition_stats,
 )
 from tablegauge.operators.querylog import counter_delta, log_top
-from tablegauge.operators.report import Metric, check_label, natural_order, priority_counts, run_all, summary
+from tablegauge.operators.report import ChecksFailed, Metric, check_label, natural_order, priority_counts, run_all, summary
 from tablegauge.operators.texts import _with_keywords, filed, keyword_hits, keyword_two_hops
+from tablegauge.plans import queries_report
 from tablegauge.sources.definitions import Reference, TableDef
 from tablegauge.sources.store import append_results, cleanup, export_plans, load, save, write_results
 from tablegauge.sources.tables import collect_all, read_events
@@ -327,6 +328,31 @@ def test_report(spark, tmp_path):
     assert check_label("stat") == "NA"
 
 
+def _raises(kind, *text):
+    def check():
+        raise kind(*text)
+    return check
+
+
+def test_a_failed_check_is_no_result(spark, tmp_path, monkeypatch):
+    metrics = [Metric("chk1_a", "ids"), Metric("chk2_b", "lost"), Metric("chk3_c", "lost while it ran")]
+    checks = {"chk1_a": lambda: spark.range(3), "chk2_b": _raises(KeyError), "chk3_c": lambda: spark.range(9).selectExpr("raise_error('no') AS x")}
+    results, _ = run_all(checks, str(tmp_path))
+    assert set(results) == {"chk1_a"} and set(results.failed) == {"chk2_b", "chk3_c"} and results.failed["chk2_b"] == "KeyError"
+    with pytest.raises(ChecksFailed, match="2 checks failed: chk2_b: KeyError; chk3_c"):
+        summary(results, metrics)
+    assert [r.result for r in summary(results, metrics[:1]).collect()] == ["3"]
+    # the registered queries do not count on a part either: no failed check, no statistic that was not collected
+    stat = spark.createDataFrame([(s.rowid,) for s in queries_report.STAT_DEFS], "rowid int")
+    monkeypatch.setattr(queries_report, "_checks", lambda *_: {"chk05_unused": _raises(ValueError, "gone")})
+    monkeypatch.setattr(queries_report, "collected", lambda *_: {"stat": stat})
+    with pytest.raises(ChecksFailed, match="chk05_unused: gone"):
+        queries_report.rep_priority(spark, "")
+    monkeypatch.setattr(queries_report, "collected", lambda *_: {"stat": stat.filter("rowid <> 4")})
+    with pytest.raises(ChecksFailed, match="us_orderdate"):
+        queries_report.rep_summary(spark, "")
+
+
 def test_counters_and_top(spark):
     a = spark.createDataFrame([("x", 3)], "k string, n long")
     b = spark.createDataFrame([("x", 5), ("y", 2)], "k string, n long")
