@@ -93,6 +93,25 @@ def test_reader_keeps_what_is_looked_at():
     assert rows[1] is None
 
 
+def test_single_figures_leave_the_reader_without_elements(spark):
+    docs = [
+        "<S><StmtSimple StatementType='' StatementSubTreeCost='1.5'><QueryPlan CachedPlanSize='1e3' CompileTime='x'/><QueryPlan CachedPlanSize='24' CompileTime='nan'/></StmtSimple>"
+        "<StmtSimple StatementType='SECOND' StatementOptmEarlyAbortReason='TimeOut'/><StmtCond StatementType='COND' StatementSubTreeCost='7'/></S>",
+        "<S><StmtSimple/><T><StmtSimple StatementType='ELSEWHERE'/></T></S>",
+        "<Warnings><a/></Warnings><QueryPlan><Warnings><b><c/></b><RelOp EstimateRows='5'/></Warnings><Warnings/><d><Warnings><e/></Warnings></d></QueryPlan>",
+        "<OptimizerStatsUsage><StatisticsInfo ModificationCount='6e+02'/><x><StatisticsInfo ModificationCount='9'/></x></OptimizerStatsUsage>"
+        "<MissingIndexGroup/><!-- <RelOp EstimateRows='99'/> --><RelOp EstimateRows=' 3 '/><RelOp EstimateRows='NaN'/><StatisticsInfo ModificationCount='9'/>",
+        "<RelOp EstimateRows='1'/><QueryPlan CompileTime='8'><MissingIndexGroup/>", None]
+    found = plandoc.plan_scalars(spark.createDataFrame([(i, "h", d) for i, d in enumerate(docs)], "plan_id int, query_hash string, plan_doc string").coalesce(1))
+    assert "nodes" not in _plan(found) and "plandoc_root" not in _plan(found)
+    rows = [r.asDict() for r in found.orderBy("plan_id").collect()]
+    assert [(r["statement_type"], r["query_plan_cost"], r["early_abort_reason"]) for r in rows] == [("COND", 1.5, None), ("ELSEWHERE", None, None), *[(None, None, None)] * 4]
+    assert (rows[0]["statement_cached_plan_size_mb"], rows[0]["compile_time_sec"]) == (1.0, 0.0)
+    assert [(r["warning_count"], r["missing_index_count"], r["operator_max_estimated_rows"], r["sum_modification_count"]) for r in rows] == [
+        (0, 0, None, 0.0), (0, 0, None, 0.0), (2, 0, 5.0, 0.0), (0, 1, 3.0, 600.0), *[(None, None, None, None)] * 2]
+    assert [r["is_readable"] for r in rows] == [True, True, True, True, False, False]
+
+
 def test_topics_are_plain_texts(spark):
     texts_of = ["License", "licenCe", "LICENSE", "a | b", "a|b", "x@y", "Copyright!!", "copyrigh", "lice\nnse", "Hi!!", ""]
     df = spark.createDataFrame([(t,) for t in texts_of], "t string")
