@@ -112,6 +112,35 @@ def test_single_figures_leave_the_reader_without_elements(spark):
     assert [r["is_readable"] for r in rows] == [True, True, True, True, False, False]
 
 
+def _used(inside: str, name: str = "OptimizerStatsUsage") -> str:
+    return f"<{name}>{inside}</{name}>"
+
+
+def _info(n, text: str = "") -> str:
+    return f'<StatisticsInfo Table="t{n}" Statistics="s" ModificationCount="{n}">{text}</StatisticsInfo>'
+
+
+def test_statistics_of_plans_leave_the_reader_as_figures(spark):
+    a, b, c = _info(400), _info("6e2"), _info(5)
+    docs = [
+        f"<P>{_used(a + b)}<RelOp/>{_used(c)}</P>", _used(a + _used(b) + c), f"<P>{_used(a)}<x>{b}</x></P>", _used(a + f"<x>{b}</x>"),
+        f"<P><!-- {_used(b)} -->{_used(a)}</P>", _used(a + f"<![CDATA[</OptimizerStatsUsage>{b}]]>" + c + b), f"<OptimizerStatsUsage/><P>{_used(a + b, 'OptimizerStatsUsageOf')}{_used(c)}</P>",
+        f"<OptimizerStatsUsage>{a}{_used(c)}{b}<OptimizerStatsUsage/>{b}</OptimizerStatsUsage>", f"<P>{_used(a + b)}</Q>", f"<P>{_used(a + b)}", None, _used(_info("&#49;e3") + a + a),
+        "<?xml version='1.0'?>" + _used(_info("nan") + _info("x") + b + b)]
+    plans = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "plan_id int, plan_doc string").coalesce(1)
+    stale = {0: 1005.0, 1: 1005.0, 5: 1005.0, 7: 1605.0, 11: 1800.0, 12: 1200.0}
+    assert {r.plan_id: r.sum_modification_count for r in plandoc.stale_refs(plans, 1000).collect()} == stale
+    every = {**stale, 2: 400.0, 3: 400.0, 4: 400.0, 6: 5.0}
+    assert {r.plan_id: r.sum_modification_count for r in plandoc.stale_refs(plans, 0).collect()} == every
+    names = {0: 3, 1: 3, 2: 1, 3: 2, 4: 1, 5: 3, 6: 1, 7: 3, 8: 0, 9: 0, 10: 0, 11: 2, 12: 3}
+    for n in (0, 1, 3):
+        assert {r.plan_id: r.number_of_referenced_stats for r in plandoc.many_stats(plans, n).collect()} == {i: k for i, k in names.items() if k >= n}
+    # no lists of elements, and a document that is made is made once
+    made = plans.withColumn("plan_doc", F.concat("plan_doc", F.lit("<made/>")))
+    for found in (plandoc.stale_refs(made), plandoc.many_stats(made)):
+        assert "nodes" not in _plan(found) and _plan(found).count("<made/>") == 1
+
+
 def test_topics_are_plain_texts(spark):
     texts_of = ["License", "licenCe", "LICENSE", "a | b", "a|b", "x@y", "Copyright!!", "copyrigh", "lice\nnse", "Hi!!", ""]
     df = spark.createDataFrame([(t,) for t in texts_of], "t string")
