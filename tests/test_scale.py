@@ -127,7 +127,7 @@ def test_statistics_of_plans_leave_the_reader_as_figures(spark):
         f"<P><!-- {_used(b)} -->{_used(a)}</P>", _used(a + f"<![CDATA[</OptimizerStatsUsage>{b}]]>" + c + b), f"<OptimizerStatsUsage/><P>{_used(a + b, 'OptimizerStatsUsageOf')}{_used(c)}</P>",
         f"<OptimizerStatsUsage>{a}{_used(c)}{b}<OptimizerStatsUsage/>{b}</OptimizerStatsUsage>", f"<P>{_used(a + b)}</Q>", f"<P>{_used(a + b)}", None, _used(_info("&#49;e3") + a + a),
         "<?xml version='1.0'?>" + _used(_info("nan") + _info("x") + b + b)]
-    plans = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "plan_id int, plan_doc string").coalesce(1)
+    plans = spark.createDataFrame([(i, "h", d) for i, d in enumerate(docs)], "plan_id int, query_hash string, plan_doc string").coalesce(1)
     stale = {0: 1005.0, 1: 1005.0, 5: 1005.0, 7: 1605.0, 11: 1800.0, 12: 1200.0}
     assert {r.plan_id: r.sum_modification_count for r in plandoc.stale_refs(plans, 1000).collect()} == stale
     every = {**stale, 2: 400.0, 3: 400.0, 4: 400.0, 6: 5.0}
